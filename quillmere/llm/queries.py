@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from . import dedup
+from pyspark.sql import functions as F
+
+from . import dedup, mixing, quality
 
 if TYPE_CHECKING:
     from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,66 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_words"
+    )
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_classes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+WORD_SQL = r"'[^\x20\x09-\x0D]+'"
+RE2_CLOSED = quality.CLOSED.replace("'", "''")
+
+SQL_OP2 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, regexp_extract_all(text, {WORD_SQL}) AS words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {WORD_SQL})) AS lines FROM t),
+win AS (SELECT r, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) > 2),
+win2 AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS x FROM win),
+rep AS (SELECT r, i FROM win2 QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY r),
+l AS (SELECT r, unnest(lines) AS line FROM w),
+j AS (SELECT r, line, len(regexp_extract_all(line, {WORD_SQL})) AS n, lower(line) AS low FROM l),
+k AS (SELECT r, n,
+  (length(regexp_replace(line, '[^{quality.SEPARATORS[1:]}+', '', 'g')) >= greatest(2, n / 10)
+   OR regexp_matches(low, '{quality.MENU_LINE}'))
+  OR (length(regexp_replace(line, '{quality.SYMBOLS}', '', 'g')) > n AND n > 2)
+  OR (regexp_matches(low, '{quality.BOILERPLATE}') AND n < 30)
+  OR NOT (regexp_matches(line, '{RE2_CLOSED}') OR regexp_matches(line, '{quality.SENTENCE_END}')) AS bad FROM j),
+s AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_failed_lines, coalesce(sum(n) FILTER (WHERE bad), 0)::BIGINT AS lost_words FROM k GROUP BY r),
+b AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, ''))  AS word_chars,
+  length(regexp_replace(text, '{quality.SYMBOLS}', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+  coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_failed_lines, 0) AS n_failed_lines, coalesce(s.lost_words, 0) AS lost_words
+  FROM w LEFT JOIN cov USING (r) LEFT JOIN s USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_words <= 0.5 * n_words AS kept FROM b
+"""
+
+SQL_OP6 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD_SQL})), 0) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1) % 3 AS weight FROM s),
+o AS (SELECT *, row_number() OVER o AS k,
+  ((sum(source_size) OVER ())::BIGINT - coalesce((sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT, 0))::DOUBLE
+    / (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level
+  FROM w WINDOW o AS (ORDER BY 3 * source_size / weight, source COLLATE C NULLS LAST)),
+f AS (SELECT level AS lvl FROM o WHERE level * weight <= 3 * source_size ORDER BY k LIMIT 1),
+g AS (SELECT source, source_size, coalesce(least(lvl * weight, (3 * source_size)::DOUBLE), 0.0) AS target FROM o LEFT JOIN f ON true),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 8))::BIGINT / 4294967296.0 AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS taken FROM r
+"""
+
 SQL_OP7 = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text),
@@ -26,5 +84,5 @@ r AS (SELECT t.doc_id, g.keep_id, g.group_size, sha256(t.text) AS text_sha256,
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 """
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
-ORACLES = {"op7_exact_dedup": SQL_OP7}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_mix_sources": op6_mix_sources, "op7_exact_dedup": op7_exact_dedup}
+ORACLES = {"op2_quality_rules": SQL_OP2, "op6_mix_sources": SQL_OP6, "op7_exact_dedup": SQL_OP7}
