@@ -6,10 +6,10 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, quality
+from . import dedup, mixing, quality, secret_scan, urls
 
 if TYPE_CHECKING:
-    from pyspark.sql import DataFrame, SparkSession
+    from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,31 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_classes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def span_text(spans) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def span_columns(spans, kinds: tuple[str, ...]) -> list[Column]:
+    """The counts of the base kinds, the digest of their spans, and all spans."""
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in kinds]
+    base = span_text(F.filter(spans, lambda x: x["kind"].isin(*kinds)))
+    return [*counts, F.sha2(base, 256).alias("base_sha256"), span_text(spans).alias("spans")]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", secret_scan.found(F.col("text")).alias("found"))
+    return rows.select("doc_id", *span_columns(F.col("found"), secret_scan.BASE))
+
+
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 RE2_CLOSED = quality.CLOSED.replace("'", "''")
 
@@ -84,5 +109,11 @@ r AS (SELECT t.doc_id, g.keep_id, g.group_size, sha256(t.text) AS text_sha256,
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 """
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op6_mix_sources": op6_mix_sources, "op7_exact_dedup": op7_exact_dedup}
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op6_mix_sources": op6_mix_sources,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op9_url_filters": op9_url_filters,
+    "op10_secret_scan": op10_secret_scan,
+}
 ORACLES = {"op2_quality_rules": SQL_OP2, "op6_mix_sources": SQL_OP6, "op7_exact_dedup": SQL_OP7}
