@@ -46,7 +46,7 @@ def let(value: Column, then) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{SPACES}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 
 
 def n_symbols(text: Column) -> Column:
@@ -74,14 +74,17 @@ def repeat_words(words: Column) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(F.transform(w, lambda x: x["w"]))) == F.size(w), F.lit(0)).otherwise(let(let(F.sort_array(w), repeated), covered)))
 
 
-def line_fails(line: Column) -> Column:
-    """What is wrong with a line, or null: symbols, navigation, boilerplate or punctuation."""
-    low, n = F.lower(line), F.size(words_of(line))
-    menu = (F.length(F.regexp_replace(line, f"[^{SEPARATORS[1:]}+", "")) >= F.greatest(F.lit(2), n / 10)) | low.rlike(MENU_LINE)
+def line_fails(line: Column, n: Column) -> Column:
+    """What is wrong with a line of n words, or null: navigation, symbols, boilerplate or punctuation.
+
+    Phrases are looked for in lines of under 30 words only: longer ones are prose that may quote them.
+    """
+    separators = F.length(F.regexp_replace(line, f"[^{SEPARATORS[1:]}+", ""))
     return (
-        F.when(menu, "navigation")
+        F.when(separators >= F.greatest(F.lit(2), n / 10), "navigation")
         .when((n_symbols(line) > n) & (n > 2), "symbols")
-        .when(low.rlike(BOILERPLATE) & (n < 30), "boilerplate")
+        .when((n < 30) & F.lower(line).rlike(MENU_LINE), "navigation")
+        .when((n < 30) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
         .when(~line.rlike(CLOSED) & ~line.rlike(SENTENCE_END), "punctuation")
     )
 
@@ -90,7 +93,8 @@ def judged(docs: DataFrame, max_loss: float = 0.5, min_words: int = 50, max_repe
     """docs with the counts, the verdict, and the text left after the failing lines are removed (clean_text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    judged_lines = F.transform(lines, lambda x: F.struct(x.alias("line"), F.size(words_of(x)).alias("n"), line_fails(x).alias("fault")))
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), F.size(words_of(x)).alias("n")))
+    judged_lines = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"]).alias("fault")))
     total = lambda a: F.aggregate(F.transform(a, lambda x: x["n"]), F.lit(0), lambda p, q: p + q).cast("long")
     out = (
         docs.withColumn("__w", words_of(text))
