@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, quality, secret_scan, urls
+from . import dedup, mixing, pii, quality, secret_scan, setjoin, toxicity, urls
 
 if TYPE_CHECKING:
     from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +16,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scored(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rows.select("doc_id", (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_words"
     )
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.classes(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -46,6 +55,11 @@ def span_columns(spans, kinds: tuple[str, ...]) -> list[Column]:
     return [*counts, F.sha2(base, 256).alias("base_sha256"), span_text(spans).alias("spans")]
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", pii.found(F.col("text")).alias("found"))
+    return rows.select("doc_id", *span_columns(F.col("found"), pii.BASE))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urls.judged(pages).select("page_id", "host", "path", "rule", "verdict", "score")
@@ -110,9 +124,12 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op6_mix_sources": op6_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_personal_data": op8_personal_data,
     "op9_url_filters": op9_url_filters,
     "op10_secret_scan": op10_secret_scan,
 }
