@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, pii, quality, secret_scan, setjoin, toxicity, urls
+from . import dedup, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
 
 if TYPE_CHECKING:
     from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +31,14 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.classes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoder = pieces.Encoder()
+    rows = encoder.encoded(documents(spark, sf_dir).select("doc_id", "text"))
+    spelt = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    back = encoder.decoded(F.col("ids")) == F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), spelt.alias("ids_sha256"), back.alias("round_trip"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mixed(documents(spark, sf_dir).select("doc_id", "source", "text"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -127,6 +135,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_personal_data": op8_personal_data,
