@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
+from . import dedup, lm, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
 
 if TYPE_CHECKING:
     from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +31,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.classes(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoder = pieces.Encoder()
     rows = encoder.encoded(documents(spark, sf_dir).select("doc_id", "text"))
@@ -135,6 +139,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_lm_scores": op4_lm_scores,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_mix_sources": op6_mix_sources,
     "op7_exact_dedup": op7_exact_dedup,
