@@ -1,9 +1,10 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text is lower-cased; its character n-grams are hashed to buckets, each counted once a text. Over all training rows a
-relation (bucket, toxic documents, other documents) is summed, with partial sums in each task. From it come the log-count
-ratios, and the ``FEATURES`` buckets whose ratio is most certain. A logistic regression on the presence of these, scaled
-by their ratios, is fitted on at most ``SAMPLE`` training rows, chosen by the hash of their id. Scores need the text only.
+A text is lower-cased; its character n-grams are hashed to buckets, each counted once a text. The classifier learns from
+at most ``LABELS`` training rows, the first by the hash of their id; their ids are broadcast (16 bytes each), so no text
+is shuffled. Over these a relation (bucket, toxic documents, other documents) is summed, with partial sums in each task.
+From it come the log-count ratios, and the ``FEATURES`` buckets whose ratio is most certain. A logistic regression on the
+presence of these, scaled by their ratios, is fitted on the first ``SAMPLE`` of them. Scores need the text only.
 
 Training rows are those of labels whose crc32 of the id as text, modulo ``FOLDS``, is not ``HELD_OUT``.
 Cases: a null or empty text has no n-grams and scores by the bias; without training rows of both labels the score is
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import sigmoid
+from .common import written
 
 ORDERS, BUCKETS = (4, 5), 1 << 19
-FEATURES, LEAST_DOCS, SAMPLE = 4096, 4, 20_000
+FEATURES, LEAST_DOCS, LABELS, SAMPLE = 4096, 4, 40_000, 10_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 
@@ -69,7 +71,7 @@ def ratios(by: DataFrame, pos: int, neg: int, features: int, least: int) -> tupl
     return np.array([r.bucket for r in rows], dtype=np.int64), np.array([r.ratio for r in rows])
 
 
-def fitted(starts: np.ndarray, columns: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 2.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fitted(starts: np.ndarray, columns: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 2.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows of ones scaled per column, by accelerated gradient steps."""
     w, b = np.zeros(len(scale)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     row_of = np.repeat(np.arange(len(y)), np.diff(starts))
@@ -86,26 +88,32 @@ def fitted(starts: np.ndarray, columns: np.ndarray, y: np.ndarray, scale: np.nda
     return w, b
 
 
-def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least: int = LEAST_DOCS, bound: int = SAMPLE) -> tuple[np.ndarray, float]:
+def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least: int = LEAST_DOCS, rows: int = LABELS, bound: int = SAMPLE) -> tuple[np.ndarray, float]:
     """A weight per bucket (zero for those not selected), and the bias."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).where(fold(F.col("doc_id")) != HELD_OUT)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != HELD_OUT)
+    known = known.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
+    known = written(known.orderBy("h", "__id", "toxic").limit(rows))
+    texts = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT)
+    matched = texts.join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     weights = np.zeros(BUCKETS, dtype=np.float64)
-    total = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    total = {r.toxic: r["count"] for r in matched.groupBy("toxic").count().collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     if not pos or not neg:
         return weights, float(np.log((pos + 0.5) / (neg + 0.5))) if pos + neg else -30.0
-    picked, ratio = ratios(counts(rows), pos, neg, features, least)
+    picked, ratio = ratios(counts(matched), pos, neg, features, least)
     place = np.full(BUCKETS, -1, dtype=np.int32)
     place[picked] = np.arange(len(picked))
 
     @F.pandas_udf("binary")
     def present(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: np.unique(p[p >= 0]).astype(np.int16).tobytes() if (p := place[buckets(t or "")]).size else b"")
-
-    share = min(1.0, bound / (pos + neg))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int(share * 1.1 * (1 << 30)) + (1 << 30) * int(share == 1.0))
-    sample = chosen.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), "doc_id", "toxic", present("text").alias("cols")).orderBy("h", "doc_id", "toxic", "cols").limit(bound).collect()
+        found = (place[buckets(t or "")] for t in text)
+        return pd.Series([np.unique(p[p >= 0]).astype(np.int16).tobytes() for p in found], dtype=object)
+
+    first = F.broadcast(known.orderBy("h", "__id", "toxic").limit(bound))
+    chosen = texts.join(first, F.col("doc_id") == F.col("__id"))
+    sample = chosen.select("h", "doc_id", "toxic", present("text").alias("cols")).orderBy("h", "doc_id", "toxic", "cols").limit(bound).collect()
+    if not sample:
+        return weights, float(np.log((pos + 0.5) / (neg + 0.5)))
     cols = [np.frombuffer(r.cols, dtype=np.int16).astype(np.int64) for r in sample]
     starts = np.concatenate([[0], np.cumsum([len(c) for c in cols])])
     y = np.array([r.toxic for r in sample], dtype=float)
