@@ -20,25 +20,34 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordhash import WordHasher, pieces, shingles
 
 ORDER, ALPHA = 3, 0.4
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 10 << 20
+CODEC = pa.Codec("zstd", compression_level=1)
 #: The name under which the number of words is counted.
 WORDS = np.uint64(0)
 
 
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + CODEC.compress(data, asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return CODEC.decompress(data[4:], decompressed_size=int.from_bytes(data[:4], "little"), asbytes=True) if len(data) > 4 else b""
+
+
 def planes(values: np.ndarray) -> bytes:
-    """Integers byte plane by byte plane, so that equal high bytes compress."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """Integers byte plane by byte plane, compressed; the high planes hold few different bytes."""
+    return packed(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
 
 
 def unplanes(data: bytes, kind) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(wide, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -49,9 +58,8 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
-def exploded(texts, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def exploded(raw: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The number of words of each text; per order, the n-gram that ends at each word (WORDS where there is none)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     hasher, found, sizes = WordHasher(lower=False), [], []
     for a, b in pieces(raw):
         words, at = hasher.words(raw[a:b])
@@ -70,12 +78,11 @@ def exploded(texts, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return sizes, grams
 
 
-def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams in order of hash, their counts, and the place of each n-gram; WORDS stands for all words."""
-    flat = np.concatenate([np.zeros(1, np.uint64), *grams])
-    unique, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+def counted(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order of hash, and their counts; WORDS stands for all words."""
+    unique, counts = np.unique(np.concatenate([np.zeros(1, np.uint64), *grams]), return_counts=True)
     counts[0] = len(grams[0])
-    return unique, inverse[1:], counts
+    return unique, counts.astype(np.uint32)
 
 
 def bucket_edges(unique: np.ndarray, buckets: int) -> np.ndarray:
@@ -88,14 +95,21 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_byte
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))), F.lit(n)).cast("int").alias("batch"), "doc_id", "text")
+
+    @F.arrow_udf("binary")
+    def shrink(text: pa.Array) -> pa.Array:
+        return pa.array([packed(t) if t else b"" for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+
+    batch = F.pmod(F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))), F.lit(n)).cast("int")
+    rows = docs.select(batch.alias("batch"), "doc_id", shrink(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = lambda group: [unpacked(t) for t in group["text"]]
 
     def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        unique, _, counts = counted(exploded(group["text"], order)[1])
+        unique, counts = counted(exploded(texts(group), order)[1])
         edges = bucket_edges(unique, n)
         full = np.flatnonzero(np.diff(edges))
         cut = [(slice(edges[k], edges[k + 1])) for k in full]
-        return pd.DataFrame({"bucket": full.astype(np.int32), "batch": np.int32(key[0]), "grams": [pack_sorted(unique[c]) for c in cut], "counts": [planes(counts[c].astype(np.uint32)) for c in cut]})
+        return pd.DataFrame({"bucket": full.astype(np.int32), "batch": np.int32(key[0]), "grams": [pack_sorted(unique[c]) for c in cut], "counts": [planes(counts[c]) for c in cut]})
 
     def answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         grams = [unpack_sorted(g) for g in group["grams"]]
@@ -105,24 +119,24 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_byte
         return pd.DataFrame({"batch": group["batch"], "bucket": np.int32(key[0]), "totals": [planes(s) for s in np.split(sums, ends[:-1])]})
 
     def score(key: tuple, group: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
-        sizes, grams = exploded(group["text"], order)
-        unique, inverse, _ = counted(grams)
-        totals = totals.sort_values("bucket")
-        known = np.concatenate([unplanes(t, np.uint64) for t in totals["totals"]]).astype(np.int64) if len(totals) else np.zeros(1, np.int64)
+        sizes, grams = exploded(texts(group), order)
+        unique = counted(grams)[0]
+        known = np.concatenate([unplanes(t, np.uint64) for t in totals.sort_values("bucket")["totals"]]).astype(np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        mine = np.tile(doc, order) * len(unique) + inverse
-        _, back, own = np.unique(mine, return_inverse=True, return_counts=True)
-        others = (known[inverse] - own[back]).reshape(order, -1)
         words = (known[0] - sizes)[doc].astype(float)
+        others = []
+        for row in grams:
+            at = np.searchsorted(unique, row)
+            _, back, own = np.unique(doc * len(unique) + at, return_inverse=True, return_counts=True)
+            others.append(known[at] - own[back])
+        longest = np.minimum(order, np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
         out = np.full(len(doc), np.nan)
         for k in range(order, 0, -1):
             context = words if k == 1 else np.concatenate([[0], others[k - 2][:-1]]).astype(float)
             seen = np.isnan(out) & (grams[k - 1] != WORDS) & (others[k - 1] > 0)
-            longest = np.minimum(order, np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
             out[seen] = np.log(others[k - 1][seen] / context[seen]) + (longest[seen] - k) * math.log(alpha)
         left = np.isnan(out)
         if left.any():
-            longest = np.minimum(order, np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
             out[left] = longest[left] * math.log(alpha) - np.log(np.maximum(words[left], 1.0))
         return pd.DataFrame({"doc_id": group["doc_id"], "n_words": sizes, "log_score": np.bincount(doc, weights=out, minlength=len(sizes))})
 
