@@ -24,8 +24,8 @@ BROADCAST_IDS = 500_000
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier predicts toxic go."""
-    scored = toxicity.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    score = toxicity.score_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(score < toxicity.THRESHOLD)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def exact_classes(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK
             break
         mark = apart.withColumn("apart", F.lit(True))
         base = base.join(mark, same(base, mark, ["g", "doc_id", "text_sha256"]), "left").select(
-            "doc_id", "text_sha256", F.when(mark["apart"], F.concat(base["g"], F.lit("+"))).otherwise(base["g"]).alias("g")
+            base["doc_id"], base["text_sha256"], F.when(mark["apart"], F.concat(base["g"], F.lit("+"))).otherwise(base["g"]).alias("g")
         )
         base = written(base)
     sizes = base.groupBy("g").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))

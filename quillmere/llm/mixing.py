@@ -47,18 +47,28 @@ def draw(id_column: str = "doc_id", seed: str = "mix"):
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, max_rate: int = 3, seed: str = "mix") -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    sized = docs.withColumn("size", word_count(F.col("text")).cast("long"))
-    sources = written(targets(sized.select("source", "size"), weights, max_rate).select(F.col("source").alias("__s"), "source_size", "target"))
+def taken(docs: DataFrame, weights=WEIGHTS, max_rate: int = 3, seed: str = "mix") -> DataFrame:
+    """docs with __mix, a struct of size, source_size, target and copies; no other column is touched."""
+    sized = docs.withColumn("__size", word_count(F.col("text")).cast("long"))
+    by = targets(sized.select("source", F.col("__size").alias("size")), weights, max_rate)
+    sources = written(by.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target")))
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    out = sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["__s"]), "left").drop("__s")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    out = sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["__source"]), "left")
+    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + F.when(draw(seed=seed) < rate - F.floor(rate), 1).otherwise(0)
-    return out.withColumn("copies", copies.cast("int"))
+    mix = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.cast("int").alias("copies"))
+    return out.select(*docs.columns, mix.alias("__mix"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """docs with size, source_size, target and copies, which replace columns of these names."""
+    rows = taken(docs, **options)
+    for name in ("size", "source_size", "target", "copies"):
+        rows = rows.withColumn(name, F.col(f"__mix.{name}"))
+    return rows.drop("__mix")
 
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    rows = mixed(docs, **options).where("copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of docs, each as often as the mix takes it, with the columns of docs as they are."""
+    rows = taken(docs, **options).where("__mix.copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__mix.copies")))).select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, same, written
 from .graph import components
 from .wordhash import WordHasher, pieces, shingles
 
@@ -191,7 +191,8 @@ def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, bloc
     first = base.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     chosen = written(members.join(first, "node"))
     small = chosen.count() <= BROADCAST_ROWS
-    hits = docs.select("doc_id", "text").join(F.broadcast(chosen) if small else chosen, "doc_id")
+    texts = docs.select("doc_id", "text")
+    hits = texts.join(F.broadcast(chosen) if small else chosen, same(texts, chosen, ["doc_id"]))
 
     def values(batches):
         hasher = WordHasher()

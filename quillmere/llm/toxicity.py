@@ -122,8 +122,8 @@ def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least:
     return weights, bias
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
-    """docs with score and predicted."""
+def score_of(docs: DataFrame, labels: DataFrame, **options) -> Column:
+    """The score of column text, by a classifier that is trained here on docs and labels."""
     weights, bias = trained(docs, labels, **options)
 
     @F.pandas_udf("double")
@@ -135,5 +135,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **o
             out[k] = weights[h].sum() + bias
         return pd.Series(sigmoid(out))
 
-    out = docs.withColumn("score", score("text"))
+    return score("text")
+
+
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """docs with score and predicted, which replace columns of these names."""
+    out = docs.withColumn("score", score_of(docs, labels, **options))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
