@@ -104,7 +104,7 @@ def test_prompt_without_results(spark):
     assert "**Images:**" not in P.rag_prompts(asked, none, some, c=Prompting(context_budget=130)).first().user_prompt
 
 
-class Judge:
+class Judge:  # sent to the workers by value
     def __init__(self, reply):
         self.reply = reply
 
