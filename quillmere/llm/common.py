@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from typing import TYPE_CHECKING
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -53,8 +56,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_digest(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
+def trim() -> None:
+    """Gives memory that a worker no longer uses back to the system; workers stay alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:

@@ -12,7 +12,7 @@ encoding exactly if each neighbouring pair is the encoding of its own concatenat
 Which pairs are so is decided once per pair of pieces, by undoing merges on both sides of the border.
 
 Documents are encoded from the table of segments. Its most frequent rows, up to ``broadcast_bytes``, are broadcast as
-packed arrays; documents with rarer segments look those up in a shuffled join. A character without a piece becomes the
+packed arrays, by 64-bit hashes; documents with rarer segments look those up in a shuffled join. A character without a piece becomes the
 pieces of its UTF-8 bytes. A first space is put before each text, as the vocabulary demands, and taken off in decoding.
 
 Cases: null and empty texts have no pieces, and decode to an empty text; U+2581 is encoded as a space, so a text that
@@ -21,20 +21,22 @@ contains it decodes to one with spaces; repeated rows are encoded alike; an empt
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, written
+from .common import mix64, trim, written
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BROADCAST_BYTES = 96 << 20
-STEP = 1 << 20
+STEP = 1 << 18
+#: Segments that one task takes, so that their lattices are grouped by hash in bounded memory.
+HASH_GROUPS = 16_384
 ODD = np.uint64(0x9E3779B97F4A7C17)
 
 
@@ -59,15 +61,16 @@ class Vocabulary:
         self.halves: dict[str, tuple[str, str]] = {}
         self.ids = {p: i for p, i in text.items() if len(p) == 1 or self._reachable(p)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == 1}
-        self.apart: dict[int, bool] = {}
+        self.codes, self.flags = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         letters = {c: k + 1 for k, c in enumerate(sorted({c for p in text if len(p) > 1 for c in p}))}
         self.classes = np.zeros(0x110000, dtype=np.uint16)
         for c, k in letters.items():
             self.classes[ord(c)] = k
-        self.inside = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
+        inside = np.zeros((len(letters) + 1, len(letters) + 1), dtype=bool)
         for p in text:
             for a, b in zip(p, p[1:], strict=False):
-                self.inside[letters[a], letters[b]] = True
+                inside[letters[a], letters[b]] = True
+        self.inside = np.packbits(inside, axis=1, bitorder="little")
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text: the best-ranked neighbouring pair is merged first, the leftmost of equals."""
@@ -103,14 +106,12 @@ class Vocabulary:
     def pairs_apart(self, codes: np.ndarray) -> np.ndarray:
         """stays_apart for pairs of ids, coded left << 32 | right."""
         unique, inverse = np.unique(codes, return_inverse=True)
-        known = self.apart
-        out = np.empty(len(unique), dtype=bool)
-        for k, code in enumerate(unique.tolist()):
-            hit = known.get(code)
-            if hit is None:
-                hit = known[code] = self.stays_apart(self.pieces[code >> 32], self.pieces[code & 0xFFFFFFFF])
-            out[k] = hit
-        return out[inverse]
+        new = np.setdiff1d(unique, self.codes, assume_unique=True)
+        if len(new):
+            flags = np.array([self.stays_apart(self.pieces[c >> 32], self.pieces[c & 0xFFFFFFFF]) for c in new.tolist()], dtype=bool)
+            at = np.searchsorted(self.codes, new)
+            self.codes, self.flags = np.insert(self.codes, at, new), np.insert(self.flags, at, flags)
+        return self.flags[np.searchsorted(self.codes, unique)][inverse]
 
     def cut(self, texts: list[str]):
         """Characters of all texts (as code points), starts and hashes of their segments, and each text's first segment."""
@@ -120,7 +121,8 @@ class Vocabulary:
         firsts = np.concatenate([[0], np.cumsum(sizes)])
         kind = self.classes[points]
         cut = np.ones(len(points) + 1, dtype=bool)
-        cut[1:-1] = ~self.inside[kind[:-1], kind[1:]]
+        after = kind[1:]
+        cut[1:-1] = (self.inside[kind[:-1], after >> 3] >> (after & 7).astype(np.uint8)) & 1 == 0
         cut[firsts] = True
         starts = np.flatnonzero(cut[:-1])
         weights = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -130,7 +132,7 @@ class Vocabulary:
         np.cumsum(weights * up[: len(points)], out=sums[1:])
         bounds = np.append(starts, len(points))
         hashes = mix64((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]] + (bounds[1:] - bounds[:-1]).astype(np.uint64))
-        return points, bounds, hashes, np.searchsorted(starts, firsts)
+        return points, bounds, hashes.view(np.int64), np.searchsorted(starts, firsts)
 
 
 @lru_cache(maxsize=1)
@@ -151,15 +153,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def steps(texts: list[str], limit: int = STEP):
-    at, size = 0, 0
-    for k, t in enumerate(texts):
+def steps(column: pa.Array, limit: int = STEP):
+    """The texts of a column in runs of about limit characters, so that the work arrays stay small."""
+    run, size = [], 0
+    for text in column:
+        t = text.as_py() or ""
         if size and size + len(t) > limit:
-            yield at, k
-            at, size = k, 0
+            yield run
+            run, size = [], 0
+        run.append(t)
         size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+    if run:
+        yield run
 
 
 def spelled(points: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> list[str]:
@@ -167,6 +172,18 @@ def spelled(points: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> list[str]
     return [points[bounds[k] : bounds[k + 1]].tobytes().decode("utf-32-le", "surrogatepass") for k in at.tolist()]
 
 
+@contextmanager
+def hash_groups(spark: SparkSession, n: int):
+    """Lets a task collect lists for n groups by hash before it sorts; the setting is put back afterwards."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Encoder:
     """Encodes with one model; path names the model file on the driver."""
 
@@ -177,46 +194,57 @@ class Encoder:
         self.longest = max(len(p) for p, k in zip(pieces, kinds, strict=True) if k == 0)
 
     def segments(self, docs: DataFrame) -> DataFrame:
-        """The distinct segments of all texts: segment, n."""
+        """The distinct segments of all texts: segment, h (its hash), n."""
         key = docs.sparkSession.sparkContext.broadcast(self.key)
 
         def run(batches):
             words = vocabulary(*key.value)
             for batch in batches:
-                texts = batch.column(0).fill_null("").to_pylist()
-                seen: dict[str, int] = {}
-                for a, b in steps(texts):
-                    points, bounds, hashes, _ = words.cut(texts[a:b])
-                    _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-                    for s, c in zip(spelled(points, bounds, first), n.tolist(), strict=True):
-                        seen[s] = seen.get(s, 0) + c
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["segment", "n"])
-
-        parts = docs.select("text").mapInArrow(run, "segment string, n bigint")
-        return parts.groupBy("segment").agg(F.sum("n").alias("n"))
+                known, names, keys, sums = np.zeros(0, np.int64), [], [], []
+                for texts in steps(batch.column(0)):
+                    points, bounds, hashes, _ = words.cut(texts)
+                    unique, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                    at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
+                    new = known[at] != unique if len(known) else np.ones(len(unique), dtype=bool)
+                    names += spelled(points, bounds, first[new])
+                    keys.append(unique[new])
+                    sums.append((unique, n))
+                    known = np.sort(np.concatenate([known, unique[new]]))
+                keys = np.concatenate(keys) if keys else known
+                place = np.argsort(keys)
+                total = np.zeros(len(keys), dtype=np.int64)
+                for unique, n in sums:
+                    total[place[np.searchsorted(known, unique)]] += n
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys), pa.array(total)], ["segment", "h", "n"])
+                del names, keys, total, sums, known
+                trim()
+
+        parts = docs.select("text").mapInArrow(run, "segment string, h bigint, n bigint")
+        return parts.groupBy("segment", "h").agg(F.sum("n").alias("n"))
 
     def lattice(self, segments: DataFrame) -> DataFrame:
-        """Per segment its edges (e, s, id): the piece id spans the characters s to e."""
+        """Per segment its edges in order, each coded end << 40 | start << 20 | id: the piece spans these characters."""
         spark = segments.sparkSession
         words = vocabulary(*self.key)
-        table = spark.createDataFrame(pd.DataFrame({"piece": list(words.ids), "id": list(words.ids.values())}), "piece string, id int")
-        size = F.length("segment")
-        lengths = F.sequence(F.lit(1), F.least(F.lit(self.longest), size))
-        spans = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(0), size - n), lambda s: F.struct(s.alias("s"), (s + n).alias("e"), F.substring("segment", s + 1, n).alias("piece")))))
-        edges = segments.select("segment", "n", F.explode(spans).alias("x")).select("segment", "n", "x.s", "x.e", "x.piece")
-        edges = edges.join(F.broadcast(table), "piece", "left")
-        return edges.groupBy("segment", "n").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("e", "s", "id")))).alias("edges"))
+        table = spark.createDataFrame(pa.table({"piece": list(words.ids), "id": list(words.ids.values())}), "piece string, id bigint")
+        size = F.length("segment").cast("bigint")
+        spans = segments.select("segment", "h", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1)).alias("s"))
+        spans = spans.select("segment", "h", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + self.longest, size))).alias("e"))
+        spans = spans.withColumn("piece", F.substring("segment", (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int")))
+        edges = spans.join(F.broadcast(table), "piece", "left")
+        code = F.col("e") * (1 << 40) + F.col("s") * (1 << 20) + F.col("id")
+        return edges.groupBy("segment", "h", "n").agg(F.sort_array(F.collect_list(code)).alias("edges"))
 
     def encoded_segments(self, segments: DataFrame) -> DataFrame:
-        """segment, n and its piece ids."""
+        """segment, h, n and its piece ids."""
         key = segments.sparkSession.sparkContext.broadcast(self.key)
         kind = pa.struct([(x, pa.int32()) for x in ("e", "s", "before", "id")])
 
         @F.arrow_udf("array<struct<e:int,s:int,before:int,id:int>>")
         def pairs(edges: pa.Array) -> pa.Array:
             words = vocabulary(*key.value)
-            flat = edges.flatten()
-            end, start, piece = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("e", "s", "id"))
+            flat = edges.flatten().to_numpy(zero_copy_only=False)
+            end, start, piece = flat >> 40, flat >> 20 & 0xFFFFF, flat & 0xFFFFF
             word = np.repeat(np.arange(len(edges)), pa.compute.list_value_length(edges).to_numpy(zero_copy_only=False))
             ends, starts = word << 24 | end, word << 24 | start  # the edges are in the order of their ends
             low, high = np.searchsorted(ends, starts, "left"), np.searchsorted(ends, starts, "right")
@@ -229,6 +257,7 @@ class Encoder:
             before = np.concatenate([np.full(len(first), -1), piece[left[apart]]])
             order = np.argsort(ends[right], kind="stable")
             right, before = right[order], before[order]
+            trim()
             fields = [pa.array(x.astype(np.int32)) for x in (end[right], start[right], before, piece[right])]
             offsets = np.searchsorted(word[right], np.arange(len(edges) + 1)).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(kind)))
@@ -253,28 +282,35 @@ class Encoder:
         code = F.hex(F.encode("segment", "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + low)
         ids = F.when(F.size("edges") == 0, spelt).otherwise(back(F.col("best")))
-        return folded.select("segment", "n", ids.alias("ids"))
+        return folded.select("segment", "h", "n", ids.alias("ids"))
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """docs with ids, the piece ids of each text."""
         context = docs.sparkSession.sparkContext
-        table = written(self.encoded_segments(self.segments(docs)))
-        weight = F.length("segment") * 4 + F.size("ids") * 4 + 24
+        segments = written(self.segments(docs))
+        tasks = segments.count() // HASH_GROUPS + 1
+        with hash_groups(docs.sparkSession, 2 * HASH_GROUPS):
+            table = written(self.encoded_segments(segments.repartition(tasks, "segment")))
+        wide = len(self.key[0]) > 1 << 16
+        weight = F.size("ids") * (4 if wide else 2) + 16  # as packed: a hash, an offset, and the ids
         total = table.agg(F.sum(weight).alias("b"), F.count("*").alias("n")).first()
         head = table if (total["b"] or 0) <= self.broadcast_bytes else table.orderBy(F.desc("n"), "segment").limit(int(self.broadcast_bytes / (total["b"] / total["n"])))
-        packed = context.broadcast(pack(head.select("segment", "ids").toArrow(), self.key))
+        arrays = pack(head.select("h", id_bytes(F.col("ids"), wide).alias("b")).orderBy("h").toArrow(), wide)
+        trim()
+        packed = context.broadcast(arrays)
+        del arrays
+        trim()
         key = context.broadcast(self.key)
 
         @F.arrow_udf("struct<ids:array<int>,rare:array<string>>")
         def encode(column: pa.Array) -> pa.Array:
-            words, (known, offsets, flat, spelling) = vocabulary(*key.value), packed.value
-            texts, ids, ends, rare, rare_ends = column.to_pylist(), [], [0], [], [0]
-            for a, b in steps(texts):
-                points, bounds, hashes, firsts = words.cut(texts[a:b])
+            words, (known, offsets, flat) = vocabulary(*key.value), packed.value
+            ids, ends, rare, rare_ends = [], [0], [], [0]
+            for texts in steps(column):
+                points, bounds, hashes, firsts = words.cut(texts)
                 unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
                 at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
                 hit = known[at] == unique if len(known) else np.zeros(len(unique), dtype=bool)
-                hit &= same_spelling(points, bounds, first, at, spelling) if len(known) else hit
                 sizes = np.where(hit, offsets[at + 1] - offsets[at], 1)[inverse] if len(known) else np.ones(len(inverse), np.int64)
                 stops = np.cumsum(sizes)
                 begin = np.where(hit, offsets[at], 0)[inverse] if len(known) else np.zeros(len(inverse), np.int64)
@@ -283,7 +319,7 @@ class Encoder:
                 missing = np.flatnonzero(~hit[inverse])
                 text_of = np.searchsorted(firsts, missing, "right") - 1
                 edges = np.concatenate([[0], stops])[firsts]
-                counts = np.bincount(text_of, minlength=b - a)
+                counts = np.bincount(text_of, minlength=len(texts))
                 rank = np.arange(len(missing)) - np.repeat(np.cumsum(counts) - counts, counts)
                 out[stops[missing] - 1] = -1 - rank
                 ids.append(out)
@@ -291,6 +327,8 @@ class Encoder:
                 rare += spelled(points, bounds, missing)
                 rare_ends += (rare_ends[-1] + np.cumsum(counts)).tolist()
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
+            del ids
+            trim()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             return pa.StructArray.from_arrays([lists, pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))], ["ids", "rare"])
 
@@ -305,67 +343,35 @@ class Encoder:
         rows = rows.withColumn("__key", F.sha2(F.concat_ws("\x01", F.col("__x.rare"), F.lit("\x02"), F.col("__x.ids").cast("array<string>")), 256))
         known = rows.where(F.size("__x.rare") > 0).select("__key", "__x.rare").dropDuplicates(["__key"])
         known = known.select("__key", F.posexplode("rare").alias("k", "segment")).join(table.select("segment", "ids"), "segment")
-        known = known.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("found"))
+        known = known.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("__found"))
         joined = rows.join(known, "__key", "left")
-        whole = F.flatten(F.transform(F.col("__x.ids"), lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("found"), -1 - i))))
-        return joined.withColumn("ids", F.when(F.col("found").isNull(), F.col("__x.ids")).otherwise(whole)).drop("found")
+        whole = F.flatten(F.transform(F.col("__x.ids"), lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("__found"), -1 - i))))
+        return joined.withColumn("ids", F.when(F.col("__found").isNull(), F.col("__x.ids")).otherwise(whole)).drop("__found")
 
     def decoded(self, ids: Column) -> Column:
         """The text of an array of piece ids."""
         pieces, _, kinds = self.key
-        spelled_bytes = [b"" if k == 2 else bytes([int(p[3:5], 16)]) if k == 1 else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds, strict=True)]
-
-        @F.arrow_udf("string")
-        def text(column: pa.Array) -> pa.Array:
-            flat, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum([0, *pa.compute.list_value_length(column).to_pylist()]).tolist()
-            found = [b"".join([spelled_bytes[i] for i in flat[a:b]]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
-            return pa.array([t[1:] if t.startswith(" ") else t for t in found], pa.string())
-
-        return text(F.coalesce(ids, F.array().cast("array<int>")))
-
-
-def pack(table: pa.Table, key) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Segments as sorted hashes, with offsets into their ids and their characters."""
-    names = table.column("segment").to_pylist()
-    points = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    bounds = np.concatenate([[0], np.cumsum([len(s) for s in names])]).astype(np.int64)
-    hashes = segment_hashes(points, bounds)
-    order = np.argsort(hashes)
-    ids = table.column("ids").combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    sizes = pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
-    at, flat = np.cumsum(sizes) - sizes, ids.flatten().to_numpy(zero_copy_only=False)
-    return hashes[order], np.concatenate([[0], np.cumsum(sizes[order])]), gathered(flat, at[order], sizes[order]).astype(np.int32), respelled(points, bounds, order)
-
-
-def gathered(flat: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The runs of flat that begin at these places, one after another."""
-    stops = np.cumsum(sizes)
-    return flat[np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - sizes - at, sizes)]
-
-
-def respelled(points: np.ndarray, bounds: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(bounds)[order]
-    return gathered(points, bounds[:-1][order], sizes), np.concatenate([[0], np.cumsum(sizes)])
-
-
-def segment_hashes(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """As in Vocabulary.cut, for segments that are given."""
-    weights = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    weights = (weights ^ (weights >> np.uint64(32))) * np.uint64(0xA0761D6478BD642F)
-    up, down = powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum(weights * up[: len(points)], out=sums[1:])
-    return mix64((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]] + (bounds[1:] - bounds[:-1]).astype(np.uint64))
-
-
-def same_spelling(points, bounds, first, at, spelling) -> np.ndarray:
-    """Whether the segments at first have the characters of the known ones at at."""
-    known, edges = spelling
-    sizes, others = bounds[first + 1] - bounds[first], edges[at + 1] - edges[at]
-    out = sizes == others
-    some = np.flatnonzero(out)
-    if len(some):
-        equal = gathered(points, bounds[first[some]], sizes[some]) == gathered(known, edges[at[some]], sizes[some])
-        out[some] = np.logical_and.reduceat(equal, np.cumsum(sizes[some]) - sizes[some])
-    return out
+        spelt = ["" if k == 2 else p[3:5] if k == 1 else p.replace(MARK, " ").encode().hex() for p, k in zip(pieces, kinds, strict=True)]
+        table = F.lit(spelt)
+        text = F.decode(F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(table, i)), "")), "UTF-8")
+        return F.when(text.startswith(" "), F.substring(text, 2, (1 << 31) - 1)).otherwise(text)
+
+
+def id_bytes(ids: Column, wide: bool) -> Column:
+    """Ids as one binary, 2 or 4 bytes each, high byte first."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 8 if wide else 4, "0")), ""))
+
+
+def pack(table: pa.Table, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of segments in the order of their hashes: the hashes, offsets into their ids, and the ids."""
+    kind = np.dtype("u4" if wide else "u2")
+    known, ends, flat, at = np.empty(len(table), np.int64), np.zeros(len(table) + 1, np.int64), [], 0
+    for batch in table.to_batches():
+        column, n = batch.column(1), len(batch)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int32)
+        known[at : at + n] = batch.column(0).to_numpy()
+        ends[at + 1 : at + n + 1] = ends[at] + (offsets[1:] - offsets[0]) // kind.itemsize
+        if n:
+            flat.append(np.frombuffer(column.buffers()[2], kind.newbyteorder(">"))[offsets[0] // kind.itemsize : offsets[-1] // kind.itemsize].astype(kind))
+        at += n
+    return known, ends, np.concatenate(flat) if flat else np.zeros(0, kind)

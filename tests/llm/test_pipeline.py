@@ -2,9 +2,6 @@
 
 from collections import Counter
 
-import pytest
-
-pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as P
 from quillmere.llm import mixing, toxicity
 
