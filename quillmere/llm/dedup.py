@@ -115,9 +115,11 @@ def exact_classes(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK
     group = F.concat_ws("-", "f1", "f2", "n_bytes")
     base = base.withColumn("g", group)
     while True:
-        sizes = base.groupBy("g").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "text_sha256")).alias("rep"))
-        sizes = sizes.where("n > 1").select("g", "n", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha"))
-        members = base.select("g", "doc_id", "text_sha256").join(sizes, "g").distinct()
+        rep = F.max(F.struct("doc_id", "text_sha256")).alias("rep")
+        groups = base.groupBy("g").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), rep).where("n > 1")
+        # written, so that the joins with it shuffle both sides, and a hot group's rows can be split
+        groups = written(groups.select("g", "n", "keep_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha")))
+        members = base.select("g", "doc_id", "text_sha256").join(groups.drop("keep_id"), "g").distinct()
         apart = written(differing(docs, members, chunk_bytes, salt_rows))
         if apart.isEmpty():
             break
@@ -126,8 +128,9 @@ def exact_classes(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK
             base["doc_id"], base["text_sha256"], F.when(mark["apart"], F.concat(base["g"], F.lit("+"))).otherwise(base["g"]).alias("g")
         )
         base = written(base)
-    sizes = base.groupBy("g").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id"))
-    rows = base.join(sizes, "g").withColumn("last", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    rows = base.join(groups.select("g", "n", "keep_id"), "g", "left").withColumn("group_size", F.coalesce("n", F.lit(1)).cast("long"))
+    rows = rows.withColumn("keep_id", F.when(F.col("n") > 1, F.col("keep_id")).otherwise(F.col("doc_id")))
+    rows = rows.withColumn("last", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     order = Window.partitionBy("g").orderBy("text_sha256")
     alone = rows.where("group_size = 1 or not last").withColumn("kept", F.col("last"))
     ties = rows.where("group_size > 1 and last").withColumn("kept", F.row_number().over(order) == 1)
