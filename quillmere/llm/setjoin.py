@@ -226,7 +226,8 @@ def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN,
     edges = components(links(docs, base, width, num, den, block))
     rows = base.select("doc_id", "n_shingles", "node").join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
     rows = rows.withColumn("root", F.coalesce("root", "node"))
-    names = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("name"))
-    named = rows.join(names, "root", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("name"))
+    names = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("name"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join with it shuffles both sides, and a hot component's rows can be split
+    named = rows.join(written(names.drop("n")), "root", "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("name", "doc_id"))
     return named.select("doc_id", "n_shingles", own.alias("component_id"))
