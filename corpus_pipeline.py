@@ -20,6 +20,8 @@ if TYPE_CHECKING:
 
 #: Up to this many dropped ids (8 bytes each) are broadcast; beyond, the anti-join shuffles.
 BROADCAST_IDS = 500_000
+#: Near copies share 80 of 100 of their five-word shingles or more; op3's own query has other defaults.
+WIDTH, NUM, DEN = 5, 80, 100
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their shingles, the one with the smallest doc_id stays."""
-    classes = setjoin.classes(docs.select("doc_id", "text"))
+    """Of documents linked by five-word shingles (a Jaccard similarity of 0.8 or more), the one with the smallest doc_id stays."""
+    classes = setjoin.classes(docs.select("doc_id", "text"), width=WIDTH, num=NUM, den=DEN)
     away = classes.groupBy("doc_id").agg(F.bool_and(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("away"))
     away = written(away.where("away").select("doc_id"))
     small = away.count() <= BROADCAST_IDS

@@ -4,7 +4,10 @@ Equal sets are one class. Candidates: two linked sets of sizes a <= b differ in
 the hash space is cut into one part more than that, some part is equal in both. Each set emits the hashes of its parts
 (for its own size interval and the one below); sets that share one are candidate neighbours, and the connected
 components of these are the units of work. A part holds about ``t / (1 - t)`` elements, so common words, lines and
-passages do not make candidates. Components above ``block`` sets are cut into blocks, and each pair of blocks is a unit,
+passages do not make candidates. Where that is under 8 elements, many parts would hold none or one, and common shingles
+would make candidates of most sets: there the space is cut finer, and a set whose parts of two elements (else of one)
+outnumber its possible differences emits these only. If either of two linked sets is such, one of these parts is equal
+in both; if neither is, both emit all parts. Components above ``block`` sets are cut into blocks, and each pair of blocks is a unit,
 so no group ever meets in one task, and nothing is capped.
 
 Within a unit the join skips by set relations. Index lists are kept in blocks of equal size and position; a block is
@@ -22,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, same, written
@@ -31,6 +34,8 @@ from .wordhash import WordHasher, pieces, shingles
 
 WIDTH, NUM, DEN = 3, 90, 100
 BLOCK = 1024
+#: Elements a part at the top of a size interval, where the hash space is cut finer.
+MEAN = 2.5
 #: Candidate documents up to this number (16 bytes each) are broadcast to find their texts; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 SALT = np.uint64(0x5851F42D4C957F2D)
@@ -50,12 +55,18 @@ def intervals(largest: int, num: int, den: int) -> list[tuple[int, int, int]]:
     out = []
     while not out or out[-1][1] < largest:
         high = max(low, low * den // num)
-        out.append((low, high, high * (den - num) // num + 1))
+        parts = high * (den - num) // num + 1
+        out.append((low, high, max(parts, int(high / MEAN)) if fine(num, den) else parts))
         low = high + 1
     return out
 
 
-def part_hashes(values: np.ndarray, table: list[tuple[int, int, int]], tops: np.ndarray) -> np.ndarray:
+def fine(num: int, den: int) -> bool:
+    """Whether one part more than differences would leave under 8 elements a part."""
+    return num < 8 * (den - num)
+
+
+def part_hashes(values: np.ndarray, table: list[tuple[int, int, int]], tops: np.ndarray, num: int, den: int) -> np.ndarray:
     """The hashes of a sorted set's parts in its own interval and the one below."""
     n = len(values)
     own = int(np.searchsorted(tops, n))
@@ -69,7 +80,14 @@ def part_hashes(values: np.ndarray, table: list[tuple[int, int, int]], tops: np.
             at = np.searchsorted(values, edges)
             at[0], at[-1] = 0, n
             name = np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1)
-            out.append(mix64(mix64(sums[at[1:]] - sums[at[:-1]]) + mix64(name)))
+            hashes = mix64(mix64(sums[at[1:]] - sums[at[:-1]]) + mix64(name))
+            if fine(num, den):
+                # the most elements in which a linked set can differ, the smaller of the two lying in interval k
+                most = n * (den - num) // num if k == own else (n + table[k][1]) * (den - num) // (den + num)
+                held = np.diff(at)
+                least = next((m for m in (2, 1) if np.count_nonzero(held >= m) > most), 0)
+                hashes = hashes[held >= least]
+            out.append(hashes)
     return np.concatenate(out)
 
 
@@ -92,7 +110,7 @@ def summaries(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 nodes.append(node)
                 if n >= least and node not in seen:
                     seen.add(node)
-                    parts.append(part_hashes(values, table, tops))
+                    parts.append(part_hashes(values, table, tops, num, den))
                     ends.append(ends[-1] + len(parts[-1]))
                 else:
                     ends.append(ends[-1])
@@ -182,8 +200,9 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int) -> Forest:
 def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
     """Star edges (u, v) between the nodes of linked sets."""
     parts = base.select("node", F.explode("parts").alias("part"))
-    shared = parts.groupBy("part").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").drop("top")
-    stars = parts.join(shared, "part").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    # one shuffle of the parts: the least node of each is its hub
+    hub = F.first("node").over(Window.partitionBy("part").orderBy("node"))
+    stars = parts.select("node", hub.alias("hub")).where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     stars = components(stars)
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("unit")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("unit")).distinct())
     sizes = members.groupBy("unit").agg(F.count("*").alias("n"))

@@ -1,9 +1,10 @@
 """The pipeline, stage by stage, against plain versions."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as P
-from quillmere.llm import mixing, toxicity
+from quillmere.llm import mixing, setjoin, toxicity
 
 from .test_operators import SF, plain_components
 
@@ -46,3 +47,54 @@ def test_run_and_empty_table(spark, tmp_path):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def near_kept(rows):
+    """The least doc_id of each group linked by a Jaccard similarity of 0.8 of five-word shingles, by all pairs."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    groups = {}
+    for i, (doc_id, _) in enumerate(rows):
+        groups.setdefault(root(i), []).append(doc_id)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_near_copies_of_five_words_at_four_fifths(spark):
+    r = random.Random(3)
+
+    def text(n):
+        return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+    long, line, texts = text(1000), text(11), []
+    texts += [long, long + text(150), long[:400] + long[550:], long[:300] + text(1) + long[301:600] + text(400)]
+    for _ in range(60):  # sizes from a few words to hundreds, around the bar; half of them with a common line
+        base = text(r.choice([5, 8, 12, 30, 60, 120, 250])) + (line if r.random() < 0.5 else [])
+        texts.append(base)
+        for _ in range(3):
+            cut, copy = r.randint(0, len(base) // 4), list(base)
+            if r.random() < 0.5:
+                copy = copy[cut:] + text(r.randint(0, 1 + len(base) // 12))
+            for _ in range(r.randint(0, 1 + len(base) // 60)):
+                copy[r.randrange(len(copy))] = text(1)[0]
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(9000, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    expected = near_kept(rows)
+    assert 1 not in expected and 2 not in expected and 60 < len(expected) < len(rows)
+    assert sorted(x.doc_id for x in P.drop_near_copies(spark, docs, SF).collect()) == expected
+    for block in (8, 1000):
+        names = setjoin.classes(docs, 5, 80, 100, block).select("component_id").distinct().collect()
+        assert sorted(x.component_id for x in names) == expected
