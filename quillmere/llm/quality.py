@@ -32,6 +32,12 @@ MENU_LINE = (
     r"|search|contact|contact us|about|about us|next|previous|back|top|sitemap|share|print|skip to content|read more"
     r"|click here))*\W*$"
 )
+#: One item of a menu line, the longer ones first; a line of any length is judged by what is left without its items, as
+#: MENU_LINE's repeated group would recurse for each item.
+ITEM = (
+    r"(?<!\w)(?:home|menu|login|log in|sign in|sign up|register|search|contact us|contact|about us|about|next|previous|back"
+    r"|top|sitemap|share|print|skip to content|read more|click here)(?!\w)"
+)
 BOILERPLATE = (
     r"all rights reserved|licensed under|released under the|copyright (\(c\)|©|[0-9]{4})|privacy policy"
     r"|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|enable javascript|lorem ipsum"
@@ -77,13 +83,13 @@ def repeat_words(words: Column) -> Column:
 def line_fails(line: Column, n: Column) -> Column:
     """What is wrong with a line of n words, or null: navigation, symbols, boilerplate or punctuation.
 
-    Phrases are looked for in lines of under 30 words only: longer ones are prose that may quote them.
+    Boilerplate is looked for in lines of under 30 words only: longer ones are prose that may quote it.
     """
     separators = F.length(F.regexp_replace(line, f"[^{SEPARATORS[1:]}+", ""))
     return (
         F.when(separators >= F.greatest(F.lit(2), n / 10), "navigation")
         .when((n_symbols(line) > n) & (n > 2), "symbols")
-        .when((n < 30) & F.lower(line).rlike(MENU_LINE), "navigation")
+        .when(F.lower(line).rlike(r"^\W*" + ITEM) & ~F.regexp_replace(F.lower(line), ITEM, "").rlike(r"\w"), "navigation")
         .when((n < 30) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
         .when(~line.rlike(CLOSED) & ~line.rlike(SENTENCE_END), "punctuation")
     )

@@ -100,6 +100,16 @@ def test_quality(spark, odd, none):
     assert [r.n_failed_lines for r in out] == [0, 1, 30, 40, 1]
 
 
+def test_long_menu_lines_are_navigation(spark):
+    prose = "\n".join(" ".join(f"word{i * 9 + k}" for k in range(9)) + "." for i in range(12))
+    menus = ["Home. About us. Contact. Log in. " * 6, "home search contact " * 12 + "sitemap:", "Menu Login Register " * 10000 + "Top;"]
+    rows = [(i, f"{prose}\n{m}") for i, m in enumerate(menus)] + [(3, prose + "\n" + "home is where one can search for the contact of a friend, and " * 3 + "rest.")]
+    out = quality.judged(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.n_failed_lines for r in out] == [1, 1, 1, 0]
+    assert [r.lost_words for r in out] == [36, 37, 30001, 0]
+    assert all(r.clean_text == prose for r in out[:3])
+
+
 # set join
 
 
