@@ -3,7 +3,7 @@ r"""Line-first quality rules, in DataFrame functions only.
 Each line of a text is judged by itself: a line fails that has no closing punctuation
 (neither at its end nor, where prose was cut, after a sentence within), that is navigation (menu
 separators, or nothing but menu words), that is boilerplate (licences, cookie and account notices) or that is mostly
-symbols. Failing lines are removed; a document that loses more than ``max_loss`` of its words is rejected. Before that
+symbols. Every rule is applied to lines of every length: a text without line breaks is one line. Failing lines are removed; a document that loses more than ``max_loss`` of its words is rejected. Before that
 a text must pass the base rules: 50 words at least, and at most half of its words in 3-word windows that repeat.
 
 Everything is computed within the row (higher-order functions over the arrays of words and lines), so nothing is
@@ -11,11 +11,15 @@ shuffled, and one row never needs another. A window's repeats are found by sorti
 them with each other.
 
 Cases: a null text has no words and no lines, and fails; an empty text likewise; lines without a word are neither
-counted nor judged; repeated rows are judged alike.
+counted nor judged; repeated rows are judged alike; a very long text is judged whole, in time linear in its length but
+for the sort of its windows, and needs a few copies of itself in memory; columns named like a result are replaced.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +47,11 @@ BOILERPLATE = (
     r"|terms of (use|service)|cookie (policy|settings)|accept (all )?cookies|enable javascript|lorem ipsum"
     r"|subscribe to our newsletter"
 )
+#: A literal of each phrase of BOILERPLATE: a text without any of them has no such line, and no line of it is searched.
+LITERALS = (
+    "all rights reserved", "licensed under", "released under the", "copyright", "privacy policy", "terms of ", "cookie", "enable javascript", "lorem ipsum",
+    "subscribe to our newsletter",
+)
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
@@ -80,17 +89,22 @@ def repeat_words(words: Column) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(F.transform(w, lambda x: x["w"]))) == F.size(w), F.lit(0)).otherwise(let(let(F.sort_array(w), repeated), covered)))
 
 
-def line_fails(line: Column, n: Column) -> Column:
+def may_be_boilerplate(text: Column) -> Column:
+    """Whether the text has a literal of some phrase, so that its lines must be searched for phrases."""
+    return let(F.lower(text), lambda low: reduce(or_, (low.contains(x) for x in LITERALS)))
+
+
+def line_fails(line: Column, n: Column, phrases: Column) -> Column:
     """What is wrong with a line of n words, or null: navigation, symbols, boilerplate or punctuation.
 
-    Boilerplate is looked for in lines of under 30 words only: longer ones are prose that may quote it.
+    phrases says whether the line's text holds a literal of some phrase.
     """
     separators = F.length(F.regexp_replace(line, f"[^{SEPARATORS[1:]}+", ""))
     return (
         F.when(separators >= F.greatest(F.lit(2), n / 10), "navigation")
         .when((n_symbols(line) > n) & (n > 2), "symbols")
         .when(F.lower(line).rlike(r"^\W*" + ITEM) & ~F.regexp_replace(F.lower(line), ITEM, "").rlike(r"\w"), "navigation")
-        .when((n < 30) & F.lower(line).rlike(BOILERPLATE), "boilerplate")
+        .when(phrases & F.lower(line).rlike(BOILERPLATE), "boilerplate")
         .when(~line.rlike(CLOSED) & ~line.rlike(SENTENCE_END), "punctuation")
     )
 
@@ -100,7 +114,8 @@ def judged(docs: DataFrame, max_loss: float = 0.5, min_words: int = 50, max_repe
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     counted = F.transform(lines, lambda x: F.struct(x.alias("line"), F.size(words_of(x)).alias("n")))
-    judged_lines = F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"]).alias("fault")))
+    # a lambda's variable: a column would be evaluated anew for each line
+    judged_lines = let(may_be_boilerplate(text), lambda p: F.transform(counted, lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_fails(x["line"], x["n"], p).alias("fault"))))
     total = lambda a: F.aggregate(F.transform(a, lambda x: x["n"]), F.lit(0), lambda p, q: p + q).cast("long")
     out = (
         docs.withColumn("__w", words_of(text))

@@ -97,9 +97,9 @@ l AS (SELECT r, unnest(lines) AS line FROM w),
 j AS (SELECT r, line, len(regexp_extract_all(line, {WORD_SQL})) AS n, lower(line) AS low FROM l),
 k AS (SELECT r, n,
   (length(regexp_replace(line, '[^{quality.SEPARATORS[1:]}+', '', 'g')) >= greatest(2, n / 10)
-   OR (n < 30 AND regexp_matches(low, '{quality.MENU_LINE}')))
+   OR regexp_matches(low, '{quality.MENU_LINE}'))
   OR (length(regexp_replace(line, '{quality.SYMBOLS}', '', 'g')) > n AND n > 2)
-  OR (regexp_matches(low, '{quality.BOILERPLATE}') AND n < 30)
+  OR regexp_matches(low, '{quality.BOILERPLATE}')
   OR NOT (regexp_matches(line, '{RE2_CLOSED}') OR regexp_matches(line, '{quality.SENTENCE_END}')) AS bad FROM j),
 s AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE bad) AS n_failed_lines, coalesce(sum(n) FILTER (WHERE bad), 0)::BIGINT AS lost_words FROM k GROUP BY r),
 b AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, ''))  AS word_chars,

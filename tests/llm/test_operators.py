@@ -110,6 +110,19 @@ def test_long_menu_lines_are_navigation(spark):
     assert all(r.clean_text == prose for r in out[:3])
 
 
+def test_phrases_are_found_in_lines_of_every_length(spark):
+    prose = "\n".join(" ".join(f"word{i * 9 + k}" for k in range(9)) + "." for i in range(12))
+    licence = " ".join(f"term{k}" for k in range(34)) + " All Rights Reserved by the owner."
+    one_line = prose.replace("\n", " ")
+    rows = [(0, f"{prose}\n{licence}"), (1, one_line), (2, one_line + " Accept all cookies."), (3, f"{prose}\ncookie recipes are good, she said."), (4, one_line * 2000)]
+    out = quality.judged(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.n_failed_lines for r in out] == [1, 0, 1, 0, 0]
+    assert (out[0].kept, out[0].lost_words, out[0].clean_text) == (True, 40, prose)
+    assert [r.kept for r in out[1:4]] == [True, False, True]
+    for p in ("copyright 1999", "terms of service", "cookie settings", "released under the", "licensed under", "privacy policy", "enable javascript", "lorem ipsum", "subscribe to our newsletter"):
+        assert any(x in p for x in quality.LITERALS)
+
+
 # set join
 
 
