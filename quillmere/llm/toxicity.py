@@ -1,14 +1,18 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A text is lower-cased; its character n-grams are hashed to buckets, each counted once a text. The classifier learns from
-at most ``LABELS`` training rows, the first by the hash of their id; their ids are broadcast (16 bytes each), so no text
-is shuffled. Over these a relation (bucket, toxic documents, other documents) is summed, with partial sums in each task.
-From it come the log-count ratios, and the ``FEATURES`` buckets whose ratio is most certain. A logistic regression on the
-presence of these, scaled by their ratios, is fitted on the first ``SAMPLE`` of them. Scores need the text only.
+at most ``LABELS`` training rows of each label, the first by the hash of their id, so a rare label is taken whole; their
+ids are broadcast (16 bytes each), so no text is shuffled. Over these a relation (bucket, toxic documents, other
+documents) is summed, with partial sums in each task. From it come the log-count ratios, and the ``FEATURES`` buckets
+whose ratio is most certain. A logistic regression on the presence of these, scaled by their ratios, is fitted on the
+first ``SAMPLE`` of each label; where a label has more, the intercept is moved to the share of labels of all training
+rows, so the scores mean the same at every size. Scores need the text only.
 
 Training rows are those of labels whose crc32 of the id as text, modulo ``FOLDS``, is not ``HELD_OUT``.
 Cases: a null or empty text has no n-grams and scores by the bias; without training rows of both labels the score is
-the smoothed share of toxic ones (0 without any rows); ids labelled twice count twice; repeated rows score alike.
+the smoothed share of toxic ones (0 without any rows); ids labelled twice count twice; repeated rows score alike; a very
+long text is scored whole in one pass, with work arrays of some 20 bytes a character; columns of docs or labels with
+clashing names are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from .boosting import sigmoid
 from .common import written
 
 ORDERS, BUCKETS = (4, 5), 1 << 19
-FEATURES, LEAST_DOCS, LABELS, SAMPLE = 4096, 4, 40_000, 10_000
+FEATURES, LEAST_DOCS, LABELS, SAMPLE = 4096, 4, 20_000, 10_000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 
 
@@ -71,7 +75,7 @@ def ratios(by: DataFrame, pos: int, neg: int, features: int, least: int) -> tupl
     return np.array([r.bucket for r in rows], dtype=np.int64), np.array([r.ratio for r in rows])
 
 
-def fitted(starts: np.ndarray, columns: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 2.0, steps: int = 200) -> tuple[np.ndarray, float]:
+def fitted(starts: np.ndarray, columns: np.ndarray, y: np.ndarray, scale: np.ndarray, ridge: float = 2.0, steps: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on sparse rows of ones scaled per column, by accelerated gradient steps."""
     w, b = np.zeros(len(scale)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     row_of = np.repeat(np.arange(len(y)), np.diff(starts))
@@ -92,7 +96,8 @@ def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least:
     """A weight per bucket (zero for those not selected), and the bias."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != HELD_OUT)
     known = known.select(F.xxhash64("doc_id", F.lit("fit")).alias("h"), F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-    known = written(known.orderBy("h", "__id", "toxic").limit(rows))
+    all_of = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    known = written(first_of_each(known, rows))
     texts = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT)
     matched = texts.join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
     weights = np.zeros(BUCKETS, dtype=np.float64)
@@ -109,9 +114,9 @@ def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least:
         found = (place[buckets(t or "")] for t in text)
         return pd.Series([np.unique(p[p >= 0]).astype(np.int16).tobytes() for p in found], dtype=object)
 
-    first = F.broadcast(known.orderBy("h", "__id", "toxic").limit(bound))
-    chosen = texts.join(first, F.col("doc_id") == F.col("__id"))
-    sample = chosen.select("h", "doc_id", "toxic", present("text").alias("cols")).orderBy("h", "doc_id", "toxic", "cols").limit(bound).collect()
+    chosen = texts.join(F.broadcast(first_of_each(known, bound)), F.col("doc_id") == F.col("__id"))
+    chosen = chosen.select("h", "doc_id", "toxic", present("text").alias("cols"))
+    sample = first_of_each(chosen, bound, ["h", "doc_id", "cols"]).collect()
     if not sample:
         return weights, float(np.log((pos + 0.5) / (neg + 0.5)))
     cols = [np.frombuffer(r.cols, dtype=np.int16).astype(np.int64) for r in sample]
@@ -119,7 +124,21 @@ def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least:
     y = np.array([r.toxic for r in sample], dtype=float)
     w, bias = fitted(starts, np.concatenate(cols), y, ratio)
     weights[picked] = w * ratio
-    return weights, bias
+    return weights, bias + shift(all_of, {1: int(y.sum()), 0: int(len(y) - y.sum())}, bound)
+
+
+def first_of_each(rows: DataFrame, bound: int, order: list[str] | None = None) -> DataFrame:
+    """The first rows of either label, at most bound of each."""
+    order = order or ["h", "__id"]
+    toxic, other = (rows.where(F.col("toxic") == label).orderBy(*order).limit(bound) for label in (1, 0))
+    return toxic.unionByName(other)
+
+
+def shift(all_of: dict[int, int], drawn: dict[int, int], bound: int) -> float:
+    """What the bound adds to the log odds of a label: nothing where neither label exceeds it."""
+    if max(all_of.values()) <= bound or not drawn[0] or not drawn[1]:
+        return 0.0
+    return float(np.log(all_of[1] / all_of[0]) - np.log(drawn[1] / drawn[0]))
 
 
 def score_of(docs: DataFrame, labels: DataFrame, **options) -> Column:
