@@ -2,12 +2,13 @@
 
 A rule is `host/path`: it fits its host and all subdomains when the URL's path starts with its path; the longest fitting
 rule decides. URLs that no rule fits are judged by boosted trees on length, depth, digit ratio, entropy, parameter counts
-and the statistics of host suffixes. The trees learn from the URLs that a rule labels: at most ``SAMPLE`` of each label,
-chosen by the hash of the URL. They block from a score of 0.5.
+and the statistics of host suffixes. The trees learn from the distinct URLs that a rule labels: the first ``SAMPLE`` by
+the hash of the URL, whatever their label, so the share of blocked ones is that of all at every size. They block from a
+score of 0.5.
 
 Cases: a null URL, or one without `://`, has an empty host and path and fits no rule; without labelled URLs of both
-kinds the score is the smoothed share of blocked ones, and 0 if there are none; repeated rows are judged alike; an
-empty table stays empty.
+kinds the score is the smoothed share of blocked ones, and 0 if there are none; repeated rows are judged alike; a URL of
+any length is read whole, in one pass; columns named like a result are replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 
-SAMPLE = 10_000
+SAMPLE = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -82,21 +83,16 @@ class Lexical:
                 len(url), len(host), len(path), len(rest), host.count(".") + 1, len(parts), sum(c.isdigit() for c in url) / n,
                 sum(c.isdigit() for c in host), sum(c.isdigit() for c in path), entropy, rest.count("=") + rest.count("&"),
                 float("#" in rest), url.count("-"), max(map(len, parts), default=0), len(parts[0]) if parts else 0,
-                float(sum(map(ord, parts[0])) % 64 if parts else -1), float(ord(parts[-1][0]) if parts else 0),
                 tails[0] if tails else self.share, tails[-1] if tails else self.share,
             ])
-        return np.array(out, dtype=float).reshape(len(out), 19)
+        return np.array(out, dtype=float).reshape(len(out), 17)
 
 
 def labelled(pages: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int]]:
-    """At most bound URLs of each label that a rule gives, in the order of their hashes."""
+    """The first URLs in the order of their hashes, at most bound, with the label that a rule gives them (1: block)."""
     label = rule_of(host_of(F.col("url")), path_of(F.col("url")))["verdict"]
     rows = pages.select("url", label.alias("verdict")).where("verdict is not null").distinct()
-    out = []
-    for verdict in ("allow", "block"):
-        picked = rows.where(F.col("verdict") == verdict).orderBy(F.xxhash64("url"), "url").limit(bound).collect()
-        out += [(r.url, int(verdict == "block")) for r in picked]
-    return out
+    return [(r.url, int(r.verdict == "block")) for r in rows.orderBy(F.xxhash64("url"), "url").limit(bound).collect()]
 
 
 def judged(pages: DataFrame, bound: int = SAMPLE) -> DataFrame:
