@@ -9,15 +9,16 @@ proposals the best-scored stays, and none may touch a base span. The corpus has
 trees learn from ``TRAINING`` generated candidates with a fixed seed: true formats in fitting contexts against look-alikes
 (versions, dates, order and part numbers, prices, hashes).
 
-All scans are linear in the text: runs of characters are walked once. Spans are code points, end exclusive, by kind as
+Scans walk each run of characters once; overlaps are found by binary search among sorted spans. Spans are code points, end exclusive, by kind as
 listed in KINDS, then start. Cases: a null or empty text has no spans; repeated rows get the same spans; texts of any
-length are scanned whole.
+length are scanned whole. Redaction cuts the union of overlapping spans, so nothing of any span is left.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -181,25 +182,26 @@ class Model:
         if not (DIGIT.search(text) or "at" in text.lower()):
             return []
         found = [(kind, m.start(), m.end()) for kind, p in PROPOSALS.items() if kind != "email_disguised" or "at" in text or "AT" in text for m in p.finditer(text)]
-        taken = sorted((a, b) for _, a, b in base)
-        found = [f for f in found if not any(a < f[2] and f[1] < b for a, b in taken)] if len(taken) < 32 else self._apart(found, taken)
+        found = apart(found, sorted((a, b) for _, a, b in base))
         if not found:
             return []
         scores = self.trees.score(np.array([features(k, text, a, b) for k, a, b in found]))
         passed = [(*f, float(s)) for f, s in zip(found, scores, strict=True) if s >= self.thresholds[ADDED.index(f[0])]]
-        out, ends = [], []
+        out, starts, ends = [], [], []  # the chosen spans lie apart, so both lists ascend together
         for f in sorted(passed, key=lambda f: (-f[3], f[1], f[0])):
-            if not any(a < f[2] and f[1] < b for a, b in ends):
+            k = bisect_left(starts, f[2])
+            if not k or ends[k - 1] <= f[1]:
+                starts.insert(k, f[1])
+                ends.insert(k, f[2])
                 out.append(f)
-                ends.append((f[1], f[2]))
         return sorted(out, key=lambda f: (KINDS.index(f[0]), f[1]))
 
-    @staticmethod
-    def _apart(found, taken):
-        """As the plain test, for many base spans: by binary search of their running ends."""
-        starts = np.array([a for a, _ in taken])
-        ends = np.maximum.accumulate([b for _, b in taken])
-        return [f for f in found if not (k := int(np.searchsorted(starts, f[2], side="left"))) or ends[k - 1] <= f[1]]
+
+def apart(found: list[tuple[str, int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Those of found that touch none of the sorted spans taken, by binary search of their running ends."""
+    starts = [a for a, _ in taken]
+    ends = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
+    return [f for f in found if not (k := bisect_left(starts, f[2])) or ends[k - 1] <= f[1]]
 
 
 def found(text: Column) -> Column:
@@ -220,10 +222,15 @@ def found(text: Column) -> Column:
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first counts."""
-    out, at = [], 0
+    """The text with each run of overlapping spans replaced by the kind of its first in brackets."""
+    merged: list[list] = []
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if start >= at:
-            out += [text[at:start], f"[{kind.upper()}]"]
-            at = end
+        if merged and start < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], end)
+        else:
+            merged.append([kind, start, end])
+    out, at = [], 0
+    for kind, start, end in merged:
+        out += [text[at:start], f"[{kind.upper()}]"]
+        at = end
     return "".join([*out, text[at:]])

@@ -57,14 +57,14 @@ def span_text(spans) -> Column:
 
 
 def span_columns(spans, kinds: tuple[str, ...]) -> list[Column]:
-    """The counts of the base kinds, the digest of their spans, and all spans."""
+    """The counts of the base kinds, the digest of their spans, all spans, and their number."""
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in kinds]
     base = span_text(F.filter(spans, lambda x: x["kind"].isin(*kinds)))
-    return [*counts, F.sha2(base, 256).alias("base_sha256"), span_text(spans).alias("spans")]
+    return [*counts, F.sha2(base, 256).alias("base_sha256"), span_text(spans).alias("spans"), F.size(spans).cast("long").alias("n_spans")]
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
