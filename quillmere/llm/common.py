@@ -20,23 +20,103 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, from spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors see, from spark.checkpoint.dir; only a local session may do without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/quillmere-{spark.sparkContext.applicationId}"
 
 
-def written(frame: DataFrame, partition: str | None = None) -> DataFrame:
-    """Cuts the lineage: writes a frame as Parquet to the shared folder and reads it again."""
+#: The paths that `written` makes, for each scratch that is open.
+_open: list[list[str]] = []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared storage."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end what is written within it; the result must have been written elsewhere, or by `lasting`."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; frames that read them can't be used any more."""
+    remove(spark, shared_folder(spark))
+
+
+def lasting(frame: DataFrame, replaces: str | None = None) -> tuple[DataFrame, str]:
+    """Cuts the lineage as `written` does; names the folder, and deletes the one that it replaces."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    writer = frame.write.option("compression", "zstd")
-    if partition:
-        writer = writer.partitionBy(partition)
-    writer.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
+    if replaces:
+        remove(spark, replaces)
+    return spark.read.schema(frame.schema).parquet(path), path
+
+
+def written(frame: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes a frame as Parquet to the shared folder and reads it again."""
+    out, path = lasting(frame)
+    if _open:
+        _open[-1].append(path)
+    return out
+
+
+#: A key is hot with more than one row in HOT; so fewer than HOT keys are, whatever the input.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows with a table of one row a key and n, the key's number of rows, so that no task gets a hot key's rows.
+
+    The fewer than HOT hot keys are broadcast; the others, of at most one row in HOT each, are joined by a shuffle. Both
+    frames are read twice, so they should be written ones.
+    """
+    bar = (table.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = table.where(F.col("n") > bar).withColumn("__hot", F.lit(True))
+    found = rows.join(F.broadcast(hot), key, "left")
+    rest = found.where("__hot is null").select(*rows.columns).join(table.where(F.col("n") <= bar), key, how)
+    return found.where("__hot").drop("__hot").unionByName(rest)
+
+
+#: Bits of a filter at most, in blocks of 1024: 32 MB, and a third more as a hash table.
+FILTER_BITS = 1 << 28
+
+
+def key_filter(keys: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap of the hashes h of keys: blocks of 16 words, and the number of bits. Its size is bounded by FILTER_BITS."""
+    bits = 1 << 16
+    n = keys.count()
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    at = F.pmod("h", F.lit(bits))
+    one = F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))")
+    word = F.floor(at / 64) % 16
+    words = [F.coalesce(F.bit_or(F.when(word == k, one)), F.lit(0).cast("bigint")) for k in range(16)]
+    return keys.groupBy(F.floor(at / 1024).alias("__block")).agg(F.array(*words).alias("__words")), bits
+
+
+def maybe_in(rows: DataFrame, h: Column, made: tuple[DataFrame, int]) -> DataFrame:
+    """rows with __maybe: false only where the hash h is not among the filter's keys. The filter is broadcast."""
+    blocks, bits = made
+    rows = rows.withColumn("__at", F.pmod(h, F.lit(bits))).withColumn("__block", F.floor(F.col("__at") / 1024))
+    bit = F.expr("getbit(get(__words, cast(floor(__at / 64) % 16 as int)), __at % 64)")
+    out = rows.join(F.broadcast(blocks), "__block", "left").withColumn("__maybe", F.coalesce(bit == 1, F.lit(False)))
+    return out.drop("__block", "__words", "__at")
 
 
 def word_count(text: Column) -> Column:

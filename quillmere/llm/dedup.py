@@ -2,30 +2,37 @@ r"""Exact deduplication by composable polynomial fingerprints.
 
 A text's UTF-8 bytes are cut into chunks of ``chunk_bytes``. Each chunk gets its polynomial value and its shift
 ``base ** length`` modulo two primes, in one vectorised pass (Arrow batches). The fingerprint of the whole is composed
-from those of its chunks in the JVM, ``value(ab) = value(a) * shift(b) + value(b)``, so a huge text's chunks can be
-hashed apart. Texts with equal fingerprint and length are only candidates: each candidate is compared, chunk by chunk,
-with the representative of its group, in a join on (group, salt, chunk). The salts spread a hot group, and the
-representative is repeated once a salt (once per ``salt_rows`` members). Texts that differ from their representative
-form the next round's groups, until no difference is left, so the result never depends on the fingerprint being free
-of collisions.
+from those of its chunks in the JVM, ``value(ab) = value(a) * shift(b) + value(b)``. A text of over ``huge_bytes`` is
+exploded to its chunks first: these are dealt to all tasks, hashed apart, and composed by an ordered aggregation.
+
+Texts with equal fingerprint and length are only candidates: each candidate is compared, chunk by chunk, with the
+representative of its group, in a join on (group, salt, chunk). The salts spread a hot group, and the representative is
+repeated once a salt (once per ``salt_rows`` members). Texts that differ from their representative form the next round's
+groups, until no difference is left, so the result never depends on the fingerprint being free of collisions. Only
+candidate texts are shuffled: a bitmap of the candidates, of bounded size, is broadcast and drops the other rows first.
+Joins back to groups broadcast the few hot ones and shuffle the rest.
 
 Cases: a null text counts as empty; empty texts are equal to each other; rows with the same id and text are repeats of
-one row, of which exactly one is kept; a null id is smaller than any other; an empty table gives an empty result.
+one row, of which exactly one is kept; a null id is smaller than any other; very long texts are hashed and compared by
+chunks; only doc_id and text are read, and keep_one returns all other columns as they are; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import same, written
+from .common import key_filter, maybe_in, same, spread_join, written
 
 #: Two primes below 2**31, so that a chunk of 64 KiB sums without overflow in 64 bits, and the bases.
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 998244353)
 CHUNK_BYTES = 1 << 16
+#: Texts beyond this size are hashed by several tasks.
+HUGE_BYTES = 4 << 20
 
 
 def fingerprint_parts(primes: tuple[int, int] = PRIMES, bases: tuple[int, int] = BASES, chunk_bytes: int = CHUNK_BYTES):
@@ -68,58 +75,70 @@ def composed(parts, primes: tuple[int, int] = PRIMES):
     return F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")), step)
 
 
-def fingerprints(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK_BYTES) -> DataFrame:
+def raw_text() -> Column:
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
+
+
+def fingerprints(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK_BYTES, huge_bytes: int = HUGE_BYTES) -> DataFrame:
     """Per row: doc_id, f1, f2, n_bytes and text_sha256 of its text."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    hashed = docs.select("doc_id", raw.alias("raw")).select(
-        "doc_id",
-        F.length("raw").cast("long").alias("n_bytes"),
-        F.sha2("raw", 256).alias("text_sha256"),
-        fingerprint_parts(primes, bases, chunk_bytes)("raw").alias("parts"),
-    )
+    parts, names = fingerprint_parts(primes, bases, chunk_bytes), ["doc_id", "n_bytes", "text_sha256"]
+    hashed = docs.select("doc_id", raw_text().alias("raw"), F.length(raw_text()).cast("long").alias("n_bytes"), F.sha2(raw_text(), 256).alias("text_sha256"))
+    small = hashed.where(F.col("n_bytes") <= huge_bytes).select(*names, parts("raw").alias("parts"))
+    # rows with one id and text have the same chunks: they are one group, counted by their first chunks
+    huge = docs.where(F.length(raw_text()) > huge_bytes).withColumn("n_bytes", F.length(raw_text()).cast("long")).withColumn("text_sha256", F.sha2(raw_text(), 256))
+    chunks = chunk_rows(huge, names, chunk_bytes).repartition("doc_id", "text_sha256", "chunk")
+    chunks = chunks.select(*names, "chunk", F.get(parts("bytes"), F.lit(0)).alias("part"))
+    grouped = chunks.groupBy(*names).agg(F.sort_array(F.collect_set(F.struct("chunk", "part"))).alias("parts"), F.count_if(F.col("chunk") == 0).cast("int").alias("n"))
+    grouped = grouped.select(*names, F.transform("parts", lambda x: x["part"]).alias("parts"), F.explode(F.sequence(F.lit(1), F.col("n")))).drop("col")
     whole = composed(F.col("parts"), primes)
-    return hashed.select("doc_id", whole["a"].alias("f1"), whole["b"].alias("f2"), "n_bytes", "text_sha256")
+    return small.unionByName(grouped).select("doc_id", whole["a"].alias("f1"), whole["b"].alias("f2"), "n_bytes", "text_sha256")
 
 
 def chunk_rows(frame: DataFrame, keep: list[str], chunk_bytes: int) -> DataFrame:
     """One row per chunk of each text; the array of chunks is built before the explode, so no row repeats the text."""
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    raw = raw_text()
     last = F.floor((F.greatest(F.length(raw), F.lit(1)) - 1) / chunk_bytes).cast("int")
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * chunk_bytes + 1, F.lit(chunk_bytes)))
     return frame.select(*keep, F.posexplode(cut).alias("chunk", "bytes"))
 
 
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text_sha256")
+
+
+def candidates(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The texts of members, one row for each doc_id and text; other texts are dropped before the shuffle."""
+    texts = maybe_in(docs.select("doc_id", "text", F.sha2(raw_text(), 256).alias("text_sha256")), row_hash(), key_filter(members.select(row_hash().alias("h"))))
+    texts = texts.where("__maybe").drop("__maybe")
+    return members.join(texts, same(members, texts, ["doc_id", "text_sha256"])).select(members["*"], texts["text"]).dropDuplicates(["g", "doc_id", "text_sha256"])
+
+
 def differing(docs: DataFrame, members: DataFrame, chunk_bytes: int, salt_rows: int) -> DataFrame:
     """Of members (g, n, doc_id, text_sha256, rep_id, rep_sha), those whose text differs from the representative's.
 
     g names the candidate group and n its size.
     """
-    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    texts = docs.select("doc_id", "text", F.sha2(raw, 256).alias("text_sha256"))
-    found = members.join(texts, same(members, texts, ["doc_id", "text_sha256"])).select(members["*"], texts["text"])
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_sha256") == F.col("rep_sha"))
     salts = F.ceil(F.col("n") / salt_rows).cast("int")
-    found = found.dropDuplicates(["g", "doc_id", "text_sha256"]).withColumn("is_rep", is_rep)
+    found = written(candidates(docs, members).withColumn("is_rep", is_rep))
     rep = found.where("is_rep").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     rep = chunk_rows(rep, ["g", "salt"], chunk_bytes).withColumnRenamed("bytes", "rep_bytes")
-    rest = found.where("not is_rep").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_sha256"), salts).cast("int"))
+    rest = found.where("not is_rep").withColumn("salt", F.pmod(row_hash(), salts).cast("int"))
     rest = chunk_rows(rest, ["g", "salt", "doc_id", "text_sha256"], chunk_bytes)
     compared = rest.join(rep, ["g", "salt", "chunk"], "left")
     equal = F.coalesce(F.col("bytes") == F.col("rep_bytes"), F.lit(False))
     return compared.groupBy("g", "doc_id", "text_sha256").agg(F.bool_and(equal).alias("equal")).where("not equal").drop("equal")
 
 
-def exact_classes(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK_BYTES, salt_rows: int = 512) -> DataFrame:
+def exact_classes(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK_BYTES, salt_rows: int = 512, huge_bytes: int = HUGE_BYTES) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    base = written(fingerprints(docs, primes, bases, chunk_bytes))
-    group = F.concat_ws("-", "f1", "f2", "n_bytes")
-    base = base.withColumn("g", group)
+    base = fingerprints(docs, primes, bases, chunk_bytes, huge_bytes)
+    base = written(base.select("doc_id", "text_sha256", F.concat_ws("-", "f1", "f2", "n_bytes").alias("g")))
     while True:
         rep = F.max(F.struct("doc_id", "text_sha256")).alias("rep")
         groups = base.groupBy("g").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id"), rep).where("n > 1")
-        # written, so that the joins with it shuffle both sides, and a hot group's rows can be split
         groups = written(groups.select("g", "n", "keep_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_sha256").alias("rep_sha")))
-        members = base.select("g", "doc_id", "text_sha256").join(groups.drop("keep_id"), "g").distinct()
+        members = written(spread_join(base, groups.drop("keep_id"), "g").distinct())
         apart = written(differing(docs, members, chunk_bytes, salt_rows))
         if apart.isEmpty():
             break
@@ -128,19 +147,34 @@ def exact_classes(docs: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes=CHUNK
             base["doc_id"], base["text_sha256"], F.when(mark["apart"], F.concat(base["g"], F.lit("+"))).otherwise(base["g"]).alias("g")
         )
         base = written(base)
-    rows = base.join(groups.select("g", "n", "keep_id"), "g", "left").withColumn("group_size", F.coalesce("n", F.lit(1)).cast("long"))
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    rows = spread_join(base, groups.select("g", "n", "keep_id"), "g", "left").withColumn("group_size", F.coalesce("n", F.lit(1)).cast("long"))
     rows = rows.withColumn("keep_id", F.when(F.col("n") > 1, F.col("keep_id")).otherwise(F.col("doc_id")))
-    rows = rows.withColumn("last", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    order = Window.partitionBy("g").orderBy("text_sha256")
-    alone = rows.where("group_size = 1 or not last").withColumn("kept", F.col("last"))
-    ties = rows.where("group_size > 1 and last").withColumn("kept", F.row_number().over(order) == 1)
-    return alone.unionByName(ties).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows = rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    alone = rows.where("group_size = 1 or not kept").select(*names)
+    # repeats of the row that stays are one group with a count, of which one is kept
+    ties = rows.where("group_size > 1 and kept").groupBy(*names).agg(F.count("*").alias("c"))
+    ties = ties.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / TIES))))
+    ties = ties.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(TIES), F.col("c") - F.col("block") * TIES))))
+    return alone.unionByName(ties.withColumn("kept", (F.col("block") == 0) & (F.col("k") == 1)).select(*names))
+
+
+#: Repeats of one row that are made at once.
+TIES = 4096
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, one of each class of equal texts, with all their columns."""
-    mark, sha = "text_sha256", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    kept = exact_classes(docs.select("doc_id", "text"), **options).where("kept").select(F.col("doc_id").alias("__id"), F.col(mark).alias("__kept"))
-    rows = docs.withColumn("__sha", sha)
-    stay = rows.join(kept, rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    """The rows of docs that stay, one of each class of equal texts, with all their columns.
+
+    Rows that share no text are passed on as they are; only those of classes, and what the bitmap can't tell from them,
+    are shuffled.
+    """
+    classes = written(exact_classes(docs.select("doc_id", "text"), **options).where("group_size > 1").select("doc_id", "text_sha256", "kept"))
+    known = classes.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"))
+    known = written(known.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"), F.col("kept").alias("__kept")))
+    made = key_filter(known.select(F.xxhash64("__id", "__sha256").alias("h")))
+    rows = maybe_in(docs.withColumn("__sha", F.sha2(raw_text(), 256)), F.xxhash64("doc_id", "__sha"), made)
+    some = rows.where("__maybe")
+    some = some.join(known, some["doc_id"].eqNullSafe(known["__id"]) & (some["__sha"] == known["__sha256"]), "left")
+    copies = some.where("__kept").dropDuplicates(["doc_id", "__sha"])
+    return rows.where("not __maybe").select(*docs.columns).unionByName(some.where("__kept is null").select(*docs.columns)).unionByName(copies.select(*docs.columns))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.llm import boosting, dedup, lm, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
+from quillmere.llm import boosting, common, dedup, lm, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
 from quillmere.llm.automaton import Automaton, parse, reverse
 from quillmere.llm.queries import ORACLES, span_columns
 
@@ -75,6 +75,45 @@ def test_chunks_compose(spark):
     assert whole.f1 == value
 
 
+def test_huge_texts_are_hashed_by_chunks(spark):
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcé") for _ in range(n)) for n in (5, 40, 300, 300)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[2]), (4, texts[3]), (5, texts[2]), (None, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    key = lambda frame: sorted(map(str, frame.collect()))
+    assert key(dedup.fingerprints(df, chunk_bytes=16, huge_bytes=30)) == key(dedup.fingerprints(df))
+    out = sorted((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in dedup.exact_classes(df, chunk_bytes=16, huge_bytes=30).collect())
+    assert out == [(0, 5, 4, False), (1, 1, 1, True), (2, 2, 1, True), (3, 5, 4, False), (3, 5, 4, False), (4, 4, 1, True), (5, 5, 4, True)]
+
+
+def test_repeats_of_one_row(spark):
+    df = spark.createDataFrame([(1, "x")] * 9000 + [(2, "y")], "doc_id long, text string").repartition(5)
+    rows = dedup.exact_classes(df).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in rows) == {(1, 1, 9000, False): 8999, (1, 1, 9000, True): 1, (2, 2, 1, True): 1}
+    assert sorted(r.doc_id for r in dedup.keep_one(df).collect()) == [1, 2]
+
+
+def test_filters_and_joins_of_hot_keys(spark):
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("h"))
+    rows = common.maybe_in(spark.range(3000), F.xxhash64("id"), common.key_filter(keys)).collect()
+    assert all(r["__maybe"] for r in rows if r.id % 3 == 0)
+    assert sum(r["__maybe"] for r in rows) < 1200
+    rows = spark.range(5000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 1")
+    for how, n in (("inner", 3500), ("left", 5000)):
+        out = common.spread_join(rows, table, "k", how).collect()
+        assert len(out) == n and all(r.n == (2000 if r.k == 1 else 1 if r.k % 2 else None) for r in out)
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from pathlib import Path
+
+    with common.scratch(spark):
+        at = Path(common.written(spark.range(3)).inputFiles()[0].removeprefix("file:")).parent
+        assert at.exists()
+    assert not at.exists()
+
+
 def test_keep_one_keeps_columns(odd):
     kept = dedup.keep_one(odd.withColumn("g", F.lit(1)))
     assert kept.columns == [*odd.columns, "g"]
