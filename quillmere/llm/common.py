@@ -58,22 +58,24 @@ def clean_up(spark: SparkSession) -> None:
     remove(spark, shared_folder(spark))
 
 
-def lasting(frame: DataFrame, replaces: str | None = None) -> tuple[DataFrame, str]:
-    """Cuts the lineage as `written` does; names the folder, and deletes the one that it replaces."""
+def lasting(frame: DataFrame, replaces: str | None = None, outlives: bool = False) -> tuple[DataFrame, str]:
+    """Cuts the lineage as `written` does; names the folder, and deletes the one that it replaces.
+
+    With outlives, the table stays when the scratch ends in which it is made.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     if replaces:
         remove(spark, replaces)
+    if _open and not outlives:
+        _open[-1].append(path)
     return spark.read.schema(frame.schema).parquet(path), path
 
 
 def written(frame: DataFrame) -> DataFrame:
     """Cuts the lineage: writes a frame as Parquet to the shared folder and reads it again."""
-    out, path = lasting(frame)
-    if _open:
-        _open[-1].append(path)
-    return out
+    return lasting(frame)[0]
 
 
 #: A key is hot with more than one row in HOT; so fewer than HOT keys are, whatever the input.

@@ -165,12 +165,14 @@ def test_phrases_are_found_in_lines_of_every_length(spark):
 # set join
 
 
-def plain_components(rows):
+def plain_components(rows, width=3, num=90):
+    """By all pairs: doc_id, size of the set, least doc_id of the component, and the number of links."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
     for _, t in rows:
         w = WORDS.findall((t or "").translate(low))
-        sets.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    links = [0] * len(rows)
     up = list(range(len(rows)))
 
     def root(x):
@@ -180,13 +182,15 @@ def plain_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                links[i] += 1
+                links[j] += 1
                 up[max(root(i), root(j))] = min(root(i), root(j))
     names = defaultdict(list)
     for i, (doc_id, _) in enumerate(rows):
         names[root(i)].append(doc_id)
     least = {k: min([x for x in v if x is not None], default=None) for k, v in names.items()}
-    return sorted(((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)), key=repr)
+    return sorted(((d, len(sets[i]), least[root(i)], links[i]) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 def test_set_join(spark, odd, none, small):
@@ -204,6 +208,56 @@ def test_set_join(spark, odd, none, small):
     assert setjoin.classes(none).count() == 0
 
 
+def random_sets(n, size, seed):
+    r = np.random.default_rng(seed)
+    return [np.sort(r.integers(0, 1 << 64, size, dtype=np.uint64)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("num", "size"), [(90, 9), (90, 60), (90, 300), (80, 5), (80, 40)])
+def test_unrelated_sets_share_no_part(num, size):
+    table = setjoin.intervals(size, num, 100)
+    tops = np.array([t[1] for t in table])
+    for n in (2500, 20_000 if size < 100 else 5000):
+        parts = Counter(h for v in random_sets(n, size, n) for h in setjoin.part_hashes(v, table, tops, num, 100).tolist())
+        assert max(parts.values()) == 1
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_linked_sets_share_a_part(num):
+    r = np.random.default_rng(num)
+    table = setjoin.intervals(3000, num, 100)
+    tops = np.array([t[1] for t in table])
+    for size in [*range(-(-num // (100 - num)), 60), 90, 200, 700, 2500] * 4:
+        a = random_sets(1, size, int(r.integers(1 << 40)))[0]
+        common_part = a[r.permutation(size)[: size - int(r.integers(0, 1 + size * (100 - num) // 100))]]
+        come = int(len(common_part) * 100 // num - size)
+        b = np.sort(np.concatenate([common_part, random_sets(1, max(0, int(r.integers(0, max(1, come + 1)))), size)[0]]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= num * (len(a) + len(b) - both) and len(b) >= -(-num // (100 - num)):
+            emitted = [set(setjoin.part_hashes(v, table, tops, num, 100).tolist()) for v in (a, b)]
+            assert emitted[0] & emitted[1]
+
+
+def test_links_within_a_unit_equal_brute_force():
+    r = random.Random(3)
+    for num in (70, 80, 90):
+        base, sets = [list(range(k * 1000, k * 1000 + 60)) for k in range(3)], []
+        for _ in range(120):
+            s = set(r.choice(base))
+            for _ in range(r.randint(0, 12)):
+                s.discard(r.choice(sorted(s)))
+                if r.random() < 0.6:
+                    s.add(5000 + r.randrange(40))
+            sets.append(np.array(sorted(s), dtype=np.uint64))
+        weights = np.array([r.randint(1, 5) for _ in sets])
+        sides = np.array([r.randrange(2) for _ in sets])
+        forest, n_links = setjoin.linked_sets(sets, num, 100, weights, sides)
+        for i, a in enumerate(sets):
+            near = [j for j, b in enumerate(sets) if 100 * len(o := np.intersect1d(a, b)) >= num * (len(a) + len(b) - len(o)) and j != i]
+            assert n_links[i] == sum(weights[j] for j in near if sides[j] != sides[i])
+            assert all(forest.root(i) == forest.root(j) for j in near)
+
+
 # language model
 
 

@@ -26,7 +26,7 @@ def test_stages(spark):
     apart = stages["ngram_jaccard_join"](spark, unique, SF)
     assert apart.columns == columns
     rows = [(r.doc_id, r.text) for r in unique.collect()]
-    assert sorted(r.doc_id for r in apart.collect()) == sorted({c for _, _, c in plain_components(rows)})
+    assert sorted(r.doc_id for r in apart.collect()) == sorted({c for _, _, c, _ in plain_components(rows, 5, 80)})
     mix = stages["mix_sources"](spark, apart, SF)
     assert mix.columns == columns
     copies = {r.doc_id: r.copies for r in mixing.mixed(apart).collect()}
