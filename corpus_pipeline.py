@@ -13,7 +13,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import functions as F
 
 from quillmere.llm import dedup, mixing, pieces, setjoin, toxicity
-from quillmere.llm.common import written
+from quillmere.llm.common import lasting, scratch, written
 
 if TYPE_CHECKING:
     from pyspark.sql import DataFrame, SparkSession
@@ -68,8 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, applied to documents. What a stage wrote for itself goes once its result is written; that goes after the next."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs, path = lasting(stage(spark, docs, sf_dir), path, outlives=True)
     return docs
