@@ -3,15 +3,21 @@ r"""Language-model scores by stupid backoff, computed relationally.
 Documents are dealt to batches by a hash. Each batch explodes its texts into n-grams of all orders up to ``order`` and
 keeps each distinct n-gram once with its count; so a frequent n-gram costs one entry a batch, however often it occurs.
 These entries are partitioned by hash range into buckets, where the count tables are summed; the totals are joined back to
-the exploded n-grams of each batch, position by position, and summed per document. The number of batches and buckets
-follows the bytes of the input, so the work of a task stays the same as the input grows.
-
-A document is scored by the counts of all other documents (its own are taken off): count(n-gram) / count(context) for
-the longest seen n-gram, times ``ALPHA`` for each order given up; a word that no other document has scores ``ALPHA`` to
-the number of orders, over the number of words. N-grams are identified by 64-bit hashes. Case is kept.
-
-Cases: null and empty texts have no words, a sum of 0 and a null mean; repeated rows count as documents of their own; a
-corpus of one document scores every word as unseen; an empty table stays empty.
+the exploded n-grams of each batch, position by position, and summed per document. The number of batches follows the
+bytes of the input, and a bucket takes as much as ``BUCKET_BATCHES`` batches, so the work of a task stays the same as the
+input grows. Entries travel as packed runs, one for each batch and bucket; like the blocks of any shuffle, their number is
+the product of the two.
+
+Two scores come of one pass. ``corpus_log_score`` sums the logarithm of count(n-gram) / count(context) over the words of a
+document by the counts of the whole corpus, its own included. ``log_score`` takes the document's own counts off: the
+longest n-gram that another document has counts, times ``ALPHA`` for each order given up; a word that no other document
+has scores ``ALPHA`` to the number of orders, over the number of words. N-grams are identified by 64-bit hashes. Case is
+kept.
+
+Cases: null and empty texts have no words, sums of 0 and null means; repeated rows count as documents of their own, and
+those of different input partitions go to different batches; a corpus of one document scores every word as unseen; one
+very long text is one batch, of some 150 bytes a word in memory; only doc_id and text are read, so other columns' names
+can't clash; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from .wordhash import WordHasher, pieces, shingles
 
 ORDER, ALPHA = 3, 0.4
-BATCH_BYTES = 10 << 20
+BATCH_BYTES, BUCKET_BATCHES = 10 << 20, 4
 CODEC = pa.Codec("zstd", compression_level=1)
 #: The name under which the number of words is counted.
 WORDS = np.uint64(0)
@@ -90,23 +96,42 @@ def bucket_edges(unique: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(at, np.arange(buckets + 1))
 
 
+def places(grams: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each n-gram, its place among the distinct ones as `counted` has them, and how often its document has it."""
+    flat = np.concatenate([np.zeros(1, np.uint64), *grams])
+    order = np.argsort(flat, kind="stable")  # equal n-grams stay in the order of their documents
+    flat = flat[order]
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = flat[1:] != flat[:-1]
+    del flat
+    at = np.empty(len(order), dtype=np.int32)
+    at[order] = np.cumsum(first, dtype=np.int32) - 1
+    docs = np.concatenate([np.full(1, -1, np.int32), *[doc.astype(np.int32)] * len(grams)])[order]
+    first[1:] |= docs[1:] != docs[:-1]
+    runs = np.diff(np.append(np.flatnonzero(first), len(order))).astype(np.int32)
+    own = np.empty(len(order), dtype=np.int32)
+    own[order] = np.repeat(runs, runs)
+    return at[1:].reshape(len(grams), -1), own[1:].reshape(len(grams), -1)
+
+
 def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, log_score, mean_log_score."""
+    """Per row of docs (doc_id, text): doc_id, n_words, log_score, corpus_log_score, and both scores per word."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / batch_bytes))
+    buckets = math.ceil(n / BUCKET_BATCHES)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     @F.arrow_udf("binary")
     def shrink(text: pa.Array) -> pa.Array:
         return pa.array([packed(t) if t else b"" for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
-    batch = F.pmod(F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit("")))), F.lit(n)).cast("int")
+    batch = F.pmod(F.xxhash64("doc_id", F.md5(F.coalesce("text", F.lit(""))), F.spark_partition_id()), F.lit(n)).cast("int")
     rows = docs.select(batch.alias("batch"), "doc_id", shrink(F.coalesce("text", F.lit(""))).alias("text"))
     texts = lambda group: [unpacked(t) for t in group["text"]]
 
     def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         unique, counts = counted(exploded(texts(group), order)[1])
-        edges = bucket_edges(unique, n)
+        edges = bucket_edges(unique, buckets)
         full = np.flatnonzero(np.diff(edges))
         cut = [(slice(edges[k], edges[k + 1])) for k in full]
         return pd.DataFrame({"bucket": full.astype(np.int32), "batch": np.int32(key[0]), "grams": [pack_sorted(unique[c]) for c in cut], "counts": [planes(counts[c]) for c in cut]})
@@ -120,27 +145,27 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_byte
 
     def score(key: tuple, group: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         sizes, grams = exploded(texts(group), order)
-        unique = counted(grams)[0]
         known = np.concatenate([unplanes(t, np.uint64) for t in totals.sort_values("bucket")["totals"]]).astype(np.int64)
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        words = (known[0] - sizes)[doc].astype(float)
-        others = []
-        for row in grams:
-            at = np.searchsorted(unique, row)
-            _, back, own = np.unique(doc * len(unique) + at, return_inverse=True, return_counts=True)
-            others.append(known[at] - own[back])
+        at, own = places(grams, doc)
         longest = np.minimum(order, np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1)
-        out = np.full(len(doc), np.nan)
-        for k in range(order, 0, -1):
-            context = words if k == 1 else np.concatenate([[0], others[k - 2][:-1]]).astype(float)
-            seen = np.isnan(out) & (grams[k - 1] != WORDS) & (others[k - 1] > 0)
-            out[seen] = np.log(others[k - 1][seen] / context[seen]) + (longest[seen] - k) * math.log(alpha)
-        left = np.isnan(out)
-        if left.any():
-            out[left] = longest[left] * math.log(alpha) - np.log(np.maximum(words[left], 1.0))
-        return pd.DataFrame({"doc_id": group["doc_id"], "n_words": sizes, "log_score": np.bincount(doc, weights=out, minlength=len(sizes))})
+        out = {"doc_id": group["doc_id"], "n_words": sizes}
+        for name, less in (("log_score", 1), ("corpus_log_score", 0)):
+            words = (known[0] - less * sizes)[doc].astype(float)
+            score, context = np.full(len(doc), np.nan), words
+            for k in range(1, order + 1):  # the longest n-gram that is seen comes last
+                count = (known[at[k - 1]] - less * own[k - 1]).astype(float)
+                seen = (grams[k - 1] != WORDS) & (count > 0)
+                score[seen] = np.log(count[seen] / context[seen]) + (longest[seen] - k) * math.log(alpha)
+                context = np.concatenate([[0], count[:-1]]) if len(count) else count
+            left = np.isnan(score)
+            score[left] = longest[left] * math.log(alpha) - np.log(np.maximum(words[left], 1.0))
+            out[name] = np.bincount(doc, weights=score, minlength=len(sizes))
+        return pd.DataFrame(out)
 
     asked = rows.groupBy("batch").applyInPandas(ask, "bucket int, batch int, grams binary, counts binary")
     answers = asked.groupBy("bucket").applyInPandas(answer, "batch int, bucket int, totals binary")
-    scores = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, f"doc_id {kind}, n_words bigint, log_score double")
-    return scores.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    scores = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(score, f"doc_id {kind}, n_words bigint, log_score double, corpus_log_score double")
+    for name in ("log_score", "corpus_log_score"):
+        scores = scores.withColumn(f"mean_{name}", F.when(F.col("n_words") > 0, F.col(name) / F.col("n_words")))
+    return scores

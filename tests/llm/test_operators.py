@@ -265,31 +265,43 @@ def plain_scores(rows, order=3):
     words = [WORDS.findall(t or "") for _, t in rows]
     own = [Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1)) for w in words]
     total, n = sum(own, Counter()), sum(map(len, words))
-    out = []
-    for (doc_id, _), w, o in zip(rows, words, own, strict=True):
+
+    def score(w, counts, n):
         score = 0.0
         for p in range(len(w)):
             longest = min(order, p + 1)
             for k in range(longest, 0, -1):
                 g = tuple(w[p - k + 1 : p + 1])
-                if total[g] - o[g] > 0:
-                    score += math.log((total[g] - o[g]) / (total[g[:-1]] - o[g[:-1]] if k > 1 else n - len(w))) + (longest - k) * math.log(0.4)
+                if counts(g) > 0:
+                    score += math.log(counts(g) / (counts(g[:-1]) if k > 1 else n)) + (longest - k) * math.log(0.4)
                     break
             else:
-                score += longest * math.log(0.4) - math.log(max(1, n - len(w)))
-        out.append((doc_id, len(w), round(score, 6)))
-    return sorted(out, key=repr)
+                score += longest * math.log(0.4) - math.log(max(1, n))
+        return score
+
+    out = []
+    for (doc_id, _), w, o in zip(rows, words, own, strict=True):
+        out.append((doc_id, len(w), score(w, lambda g, o=o: total[g] - o[g], n - len(w)), score(w, lambda g: total[g], n)))
+    return sorted(out, key=lambda r: (str(r[0]), *r[1:]))
 
 
 def test_lm(spark, odd, none, small):
     rows = [(r.doc_id, r.text) for r in small.limit(60).collect()] + [(r[0], r[1]) for r in ODD]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("batch", F.lit("own"))
     for size in (1 << 30, 40_000):
-        found = sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in lm.scored(df, batch_bytes=size).collect()), key=repr)
-        assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-3) for a, b in zip(found, plain_scores(rows), strict=True))
+        found = sorted(((r.doc_id, r.n_words, r.log_score, r.corpus_log_score) for r in lm.scored(df, batch_bytes=size).collect()), key=lambda r: (str(r[0]), *r[1:]))
+        assert all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-3) for a, b in zip(found, plain_scores(rows), strict=True))
     assert lm.scored(none).count() == 0
 
 
+def test_repeated_rows_meet_in_no_batch(spark):
+    df = spark.createDataFrame([(1, "one text of some words")] * 4000, "doc_id long, text string").repartition(8)
+    plan = lm.scored(df, batch_bytes=4096)
+    rows = plan.collect()
+    assert len(rows) == 4000
+    assert len({(r.n_words, round(r.log_score, 9)) for r in rows}) == 1
+
+
 # pieces
 
 
