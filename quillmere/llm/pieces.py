@@ -1,10 +1,11 @@
 r"""SentencePiece encoding and decoding by a relational lattice.
 
 Texts are cut where no piece can span (two neighbouring characters that occur in no piece side by side), which makes
-segments: mostly words. The distinct segments of the corpus, with counts, are one relation. Their substrings of bounded
-length are exploded and equi-joined to the piece table (a fixed vocabulary, so broadcast); the matches are the edges of
-each segment's lattice, grouped by segment without another shuffle. A higher-order aggregate folds the lattice from left
-to right, keeping for each prefix the last piece of its best path, and a second fold walks the path back.
+segments: mostly words. The distinct segments of the corpus, with counts, are one relation. Their substrings are exploded,
+at each place up to the longest piece that begins with the two characters there, and equi-joined to the piece table (a
+fixed vocabulary, so broadcast); the matches are the edges of each segment's lattice, grouped by the segment's hash
+without another shuffle. A higher-order aggregate folds the lattice from left to right, keeping for each prefix the last
+piece of its best path, and a second fold walks the path back.
 
 The vocabularies here are merge-ordered (BPE), for which the sum of scores is not what defines the encoding. The fold
 therefore runs over pairs of neighbouring edges that merging itself would leave apart: a sequence of pieces is the
@@ -12,11 +13,14 @@ encoding exactly if each neighbouring pair is the encoding of its own concatenat
 Which pairs are so is decided once per pair of pieces, by undoing merges on both sides of the border.
 
 Documents are encoded from the table of segments. Its most frequent rows, up to ``broadcast_bytes``, are broadcast as
-packed arrays, by 64-bit hashes; documents with rarer segments look those up in a shuffled join. A character without a piece becomes the
+packed arrays, by 64-bit hashes; documents with rarer segments look those up in a join that shuffles hashes. A character without a piece becomes the
 pieces of its UTF-8 bytes. A first space is put before each text, as the vocabulary demands, and taken off in decoding.
 
 Cases: null and empty texts have no pieces, and decode to an empty text; U+2581 is encoded as a space, so a text that
-contains it decodes to one with spaces; repeated rows are encoded alike; an empty table stays empty.
+contains it decodes to one with spaces; repeated rows are encoded alike; a very long text is cut as any other; a
+segment that can't be cut is encoded whole whatever its length (up to 2 ** 35 characters can be coded), but the fold copies
+its state at each step, so its time grows as the square of its length (some 30 to 80 seconds for 32,000 characters); only
+the column text is read, and a column named ids is replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, trim, written
+from .common import let, mix64, trim, written
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,6 +42,8 @@ STEP = 1 << 18
 #: Segments that one task takes, so that their lattices are grouped by hash in bounded memory.
 HASH_GROUPS = 16_384
 ODD = np.uint64(0x9E3779B97F4A7C17)
+#: Characters of a segment from which substrings are taken at once.
+WINDOW = 4096
 
 
 def read_model(path: str = MODEL) -> tuple[list[str], list[float], list[int]]:
@@ -222,21 +228,34 @@ class Encoder:
         parts = docs.select("text").mapInArrow(run, "segment string, h bigint, n bigint")
         return parts.groupBy("segment", "h").agg(F.sum("n").alias("n"))
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        words = vocabulary(*self.key)
+        return spark.createDataFrame(pa.table({"piece": list(words.ids), "id": list(words.ids.values())}), "piece string, id bigint")
+
     def lattice(self, segments: DataFrame) -> DataFrame:
-        """Per segment its edges in order, each coded end << 40 | start << 20 | id: the piece spans these characters."""
+        """Per segment (h, n) with pieces its edges in order, each coded end << 28 | length << 20 | id."""
         spark = segments.sparkSession
-        words = vocabulary(*self.key)
-        table = spark.createDataFrame(pa.table({"piece": list(words.ids), "id": list(words.ids.values())}), "piece string, id bigint")
+        reach: dict[str, int] = {}
+        for piece in vocabulary(*self.key).ids:
+            if len(piece) > 1:
+                reach[piece[:2]] = max(len(piece), reach.get(piece[:2], 0))
+        reach = spark.createDataFrame(pa.table({"two": list(reach), "most": list(reach.values())}), "two string, most bigint")
         size = F.length("segment").cast("bigint")
-        spans = segments.select("segment", "h", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1)).alias("s"))
-        spans = spans.select("segment", "h", "n", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + self.longest, size))).alias("e"))
-        spans = spans.withColumn("piece", F.substring("segment", (F.col("s") + 1).cast("int"), (F.col("e") - F.col("s")).cast("int")))
-        edges = spans.join(F.broadcast(table), "piece", "left")
-        code = F.col("e") * (1 << 40) + F.col("s") * (1 << 20) + F.col("id")
-        return edges.groupBy("segment", "h", "n").agg(F.sort_array(F.collect_list(code)).alias("edges"))
+        windows = segments.select("segment", "h", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((size - 1) / WINDOW))).alias("w"))
+        windows = windows.select("h", "n", (F.col("w") * WINDOW).alias("at"), F.substring("segment", (F.col("w") * WINDOW + 1).cast("int"), F.lit(WINDOW + self.longest)).alias("part"))
+        here = F.least(F.length("part"), F.lit(WINDOW))
+        starts = windows.select("h", "n", "at", "part", F.explode(F.sequence(F.lit(1), here)).alias("k"))
+        starts = starts.select("h", "n", (F.col("at") + F.col("k") - 1).alias("s"), F.substring("part", F.col("k"), F.lit(self.longest)).alias("rest"))
+        starts = starts.withColumn("two", F.substring("rest", 1, 2)).join(F.broadcast(reach), "two", "left")
+        lengths = F.sequence(F.lit(1), F.least(F.coalesce("most", F.lit(1)), F.length("rest")).cast("int"))
+        spans = starts.select("h", "n", "s", "rest", F.explode(lengths).alias("l"))
+        spans = spans.select("h", "n", "s", "l", F.substring("rest", F.lit(1), F.col("l")).alias("piece"))
+        edges = spans.join(F.broadcast(self.table(spark)), "piece")
+        code = (F.col("s") + F.col("l")) * (1 << 28) + F.col("l").cast("bigint") * (1 << 20) + F.col("id")
+        return edges.groupBy("h", "n").agg(F.sort_array(F.collect_list(code)).alias("edges"))
 
     def encoded_segments(self, segments: DataFrame) -> DataFrame:
-        """segment, h, n and its piece ids."""
+        """h, n and the piece ids of each segment."""
         key = segments.sparkSession.sparkContext.broadcast(self.key)
         kind = pa.struct([(x, pa.int32()) for x in ("e", "s", "before", "id")])
 
@@ -244,9 +263,10 @@ class Encoder:
         def pairs(edges: pa.Array) -> pa.Array:
             words = vocabulary(*key.value)
             flat = edges.flatten().to_numpy(zero_copy_only=False)
-            end, start, piece = flat >> 40, flat >> 20 & 0xFFFFF, flat & 0xFFFFF
+            end, piece = flat >> 28, flat & 0xFFFFF
+            start = end - (flat >> 20 & 0xFF)
             word = np.repeat(np.arange(len(edges)), pa.compute.list_value_length(edges).to_numpy(zero_copy_only=False))
-            ends, starts = word << 24 | end, word << 24 | start  # the edges are in the order of their ends
+            ends, starts = word << 36 | end, word << 36 | start  # the edges are in the order of their ends
             low, high = np.searchsorted(ends, starts, "left"), np.searchsorted(ends, starts, "right")
             count = np.where(start > 0, high - low, 0)
             right = np.repeat(np.arange(len(flat)), count)
@@ -276,13 +296,16 @@ class Encoder:
             begin = F.struct(n.alias("pos"), F.array().cast("array<int>").alias("ids"))
             return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), begin, walk)["ids"]
 
-        root = F.array(F.struct(F.lit(-1).alias("id"), F.lit(0).alias("s")))
-        folded = self.lattice(segments).withColumn("pairs", pairs("edges")).withColumn("best", F.aggregate("pairs", root, step))
+        first = F.struct(F.lit(-1).alias("id"), F.lit(0).alias("s"))
+        best = F.aggregate("pairs", F.array(first), step)
+        folded = self.lattice(segments).withColumn("pairs", pairs("edges")).select("h", "n", let(best, back).alias("ids"))
+        # a character without a piece is a segment of its own
         low = vocabulary(*self.key).bytes[0]
         code = F.hex(F.encode("segment", "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + low)
-        ids = F.when(F.size("edges") == 0, spelt).otherwise(back(F.col("best")))
-        return folded.select("segment", "h", "n", ids.alias("ids"))
+        table = self.table(segments.sparkSession)
+        single = segments.where(F.length("segment") == 1).join(F.broadcast(table), F.col("segment") == table["piece"], "left_anti")
+        return folded.unionByName(single.select("h", "n", spelt.alias("ids")))
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """docs with ids, the piece ids of each text."""
@@ -290,11 +313,11 @@ class Encoder:
         segments = written(self.segments(docs))
         tasks = segments.count() // HASH_GROUPS + 1
         with hash_groups(docs.sparkSession, 2 * HASH_GROUPS):
-            table = written(self.encoded_segments(segments.repartition(tasks, "segment")))
+            table = written(self.encoded_segments(segments.repartition(tasks, "h")))
         wide = len(self.key[0]) > 1 << 16
         weight = F.size("ids") * (4 if wide else 2) + 16  # as packed: a hash, an offset, and the ids
         total = table.agg(F.sum(weight).alias("b"), F.count("*").alias("n")).first()
-        head = table if (total["b"] or 0) <= self.broadcast_bytes else table.orderBy(F.desc("n"), "segment").limit(int(self.broadcast_bytes / (total["b"] / total["n"])))
+        head = table if (total["b"] or 0) <= self.broadcast_bytes else table.orderBy(F.desc("n"), "h").limit(int(self.broadcast_bytes / (total["b"] / total["n"])))
         arrays = pack(head.select("h", id_bytes(F.col("ids"), wide).alias("b")).orderBy("h").toArrow(), wide)
         trim()
         packed = context.broadcast(arrays)
@@ -302,7 +325,7 @@ class Encoder:
         trim()
         key = context.broadcast(self.key)
 
-        @F.arrow_udf("struct<ids:array<int>,rare:array<string>>")
+        @F.arrow_udf("struct<ids:array<int>,rare:array<bigint>>")
         def encode(column: pa.Array) -> pa.Array:
             words, (known, offsets, flat) = vocabulary(*key.value), packed.value
             ids, ends, rare, rare_ends = [], [0], [], [0]
@@ -324,29 +347,36 @@ class Encoder:
                 out[stops[missing] - 1] = -1 - rank
                 ids.append(out)
                 ends += (ends[-1] + edges[1:]).tolist()
-                rare += spelled(points, bounds, missing)
+                rare.append(hashes[missing])
                 rare_ends += (rare_ends[-1] + np.cumsum(counts)).tolist()
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
             del ids
             trim()
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            return pa.StructArray.from_arrays([lists, pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(rare, pa.string()))], ["ids", "rare"])
+            return pa.StructArray.from_arrays([lists, pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))], ["ids", "rare"])
 
         out = docs.withColumn("__x", encode(F.coalesce(F.col("text"), F.lit(""))))
         if (total["b"] or 0) <= self.broadcast_bytes:
             return out.withColumn("ids", F.col("__x.ids")).drop("__x")
-        return self._filled(written(out), table).drop("__x", "__key")
+        return self._filled(written(out), table)
 
     @staticmethod
     def _filled(rows: DataFrame, table: DataFrame) -> DataFrame:
-        """Puts the ids of rare segments, from a shuffled join, in the places left for them."""
-        rows = rows.withColumn("__key", F.sha2(F.concat_ws("\x01", F.col("__x.rare"), F.lit("\x02"), F.col("__x.ids").cast("array<string>")), 256))
-        known = rows.where(F.size("__x.rare") > 0).select("__key", "__x.rare").dropDuplicates(["__key"])
-        known = known.select("__key", F.posexplode("rare").alias("k", "segment")).join(table.select("segment", "ids"), "segment")
-        known = known.groupBy("__key").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]).alias("__found"))
-        joined = rows.join(known, "__key", "left")
-        whole = F.flatten(F.transform(F.col("__x.ids"), lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("__found"), -1 - i))))
-        return joined.withColumn("ids", F.when(F.col("__found").isNull(), F.col("__x.ids")).otherwise(whole)).drop("__found")
+        """Puts the ids of rare segments, from a join by their hashes, in the places left for them.
+
+        Rows are named by two hashes of what they hold; only those with rare segments are shuffled.
+        """
+        names = ["__k1", "__k2"]
+        whole = rows.where(F.size("__x.rare") == 0).withColumn("ids", F.col("__x.ids")).drop("__x")
+        rows = rows.where(F.size("__x.rare") > 0)
+        for k, name in enumerate(names):
+            rows = rows.withColumn(name, F.xxhash64(F.lit(k), "__x.rare", "__x.ids"))
+        known = rows.select(*names, "__x.rare").dropDuplicates(names)
+        known = known.select(*names, F.posexplode("rare").alias("k", "h")).join(table.select("h", F.col("ids").alias("found")), "h")
+        known = known.groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "found"))), lambda x: x["found"]).alias("__found"))
+        ids = F.flatten(F.transform(F.col("__x.ids"), lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("__found"), -1 - i))))
+        filled = rows.join(known, names).withColumn("ids", ids).drop("__x", "__found", *names)
+        return whole.unionByName(filled)
 
     def decoded(self, ids: Column) -> Column:
         """The text of an array of piece ids."""

@@ -23,7 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, let
 
 WORD = f"[^{SPACES}]"
 #: What a line may end in, menu separators, menu words and phrases of boilerplate.
@@ -55,11 +55,6 @@ LITERALS = (
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
-def let(value: Column, then) -> Column:
-    """Evaluates value once per row and hands it on."""
-    return F.transform(F.array(value), then)[0]
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 

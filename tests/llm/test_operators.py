@@ -321,6 +321,19 @@ def test_pieces_equal_the_library(spark, odd, small, bound):
         assert r.found == 1
 
 
+def test_long_segments_without_a_cut(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    r = random.Random(9)
+    texts = ["a" * 3000, "".join(r.choice("etaoinshr") for _ in range(9000)), " " * 2000 + "x", "ab" * 1000]
+    encoder = pieces.Encoder()
+    rows = encoder.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("back", encoder.decoded(F.col("ids"))).collect()
+    for x in rows:
+        assert list(x.ids) == model.encode(texts[x.doc_id])
+        assert x.back == texts[x.doc_id]
+
+
 def test_pieces_of_nothing(none):
     assert pieces.Encoder().encoded(none).count() == 0
 
