@@ -200,7 +200,7 @@ class Encoder:
         self.longest = max(len(p) for p, k in zip(pieces, kinds, strict=True) if k == 0)
 
     def segments(self, docs: DataFrame) -> DataFrame:
-        """The distinct segments of all texts: segment, h (its hash), n."""
+        """The distinct segments of all texts: segment, h (its hash), n, and alone (a character without a piece)."""
         key = docs.sparkSession.sparkContext.broadcast(self.key)
 
         def run(batches):
@@ -221,22 +221,20 @@ class Encoder:
                 total = np.zeros(len(keys), dtype=np.int64)
                 for unique, n in sums:
                     total[place[np.searchsorted(known, unique)]] += n
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys), pa.array(total)], ["segment", "h", "n"])
-                del names, keys, total, sums, known
+                alone = pa.array([len(s) == 1 and s not in words.ids for s in names], pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys), pa.array(total), alone], ["segment", "h", "n", "alone"])
+                del names, keys, total, sums, known, alone
                 trim()
 
-        parts = docs.select("text").mapInArrow(run, "segment string, h bigint, n bigint")
-        return parts.groupBy("segment", "h").agg(F.sum("n").alias("n"))
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        words = vocabulary(*self.key)
-        return spark.createDataFrame(pa.table({"piece": list(words.ids), "id": list(words.ids.values())}), "piece string, id bigint")
+        parts = docs.select("text").mapInArrow(run, "segment string, h bigint, n bigint, alone boolean")
+        return parts.groupBy("segment", "h", "alone").agg(F.sum("n").alias("n"))
 
     def lattice(self, segments: DataFrame) -> DataFrame:
         """Per segment (h, n) with pieces its edges in order, each coded end << 28 | length << 20 | id."""
-        spark = segments.sparkSession
+        spark, words = segments.sparkSession, vocabulary(*self.key)
+        table = spark.createDataFrame(pa.table({"piece": list(words.ids), "id": list(words.ids.values())}), "piece string, id bigint")
         reach: dict[str, int] = {}
-        for piece in vocabulary(*self.key).ids:
+        for piece in words.ids:
             if len(piece) > 1:
                 reach[piece[:2]] = max(len(piece), reach.get(piece[:2], 0))
         reach = spark.createDataFrame(pa.table({"two": list(reach), "most": list(reach.values())}), "two string, most bigint")
@@ -250,7 +248,7 @@ class Encoder:
         lengths = F.sequence(F.lit(1), F.least(F.coalesce("most", F.lit(1)), F.length("rest")).cast("int"))
         spans = starts.select("h", "n", "s", "rest", F.explode(lengths).alias("l"))
         spans = spans.select("h", "n", "s", "l", F.substring("rest", F.lit(1), F.col("l")).alias("piece"))
-        edges = spans.join(F.broadcast(self.table(spark)), "piece")
+        edges = spans.join(F.broadcast(table), "piece")
         code = (F.col("s") + F.col("l")) * (1 << 28) + F.col("l").cast("bigint") * (1 << 20) + F.col("id")
         return edges.groupBy("h", "n").agg(F.sort_array(F.collect_list(code)).alias("edges"))
 
@@ -298,14 +296,12 @@ class Encoder:
 
         first = F.struct(F.lit(-1).alias("id"), F.lit(0).alias("s"))
         best = F.aggregate("pairs", F.array(first), step)
-        folded = self.lattice(segments).withColumn("pairs", pairs("edges")).select("h", "n", let(best, back).alias("ids"))
+        folded = self.lattice(segments.where("not alone")).withColumn("pairs", pairs("edges")).select("h", "n", let(best, back).alias("ids"))
         # a character without a piece is a segment of its own
         low = vocabulary(*self.key).bytes[0]
         code = F.hex(F.encode("segment", "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(code, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + low)
-        table = self.table(segments.sparkSession)
-        single = segments.where(F.length("segment") == 1).join(F.broadcast(table), F.col("segment") == table["piece"], "left_anti")
-        return folded.unionByName(single.select("h", "n", spelt.alias("ids")))
+        return folded.unionByName(segments.where("alone").select("h", "n", spelt.alias("ids")))
 
     def encoded(self, docs: DataFrame) -> DataFrame:
         """docs with ids, the piece ids of each text."""
