@@ -32,6 +32,13 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
+def bare(text: Column) -> Column:
+    """Whether a reply parses as a number other than 0 or as true: something that can't be asked for fields."""
+    value = parsed(text)
+    scalar = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
+    return F.coalesce(scalar & (F.try_variant_get(value, "$", "string").try_cast("double").isNull() | (F.try_variant_get(value, "$", "double") != 0)) & (F.try_variant_get(value, "$", "string") != "false"), F.lit(False))
+
+
 def judged(text: Column) -> Column:
     """struct of scores, counts and questions; null where the reply gives nothing.
 

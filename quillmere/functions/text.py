@@ -49,6 +49,11 @@ def word_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 
 
+def word_sizes(texts: Column) -> Column:
+    """The default token counter of an array of texts; any function from array<string> to array<int> can stand for it."""
+    return F.transform(texts, word_tokens)
+
+
 def keyword_tokens(text: Column) -> Column:
     """Lower-case tokens of two characters or more; part numbers such as a320-200 or p/n stay whole."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -67,6 +72,11 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/]*$", 0)
 
 
+def shown_name(name: Column) -> Column:
+    """The file name of a source as clients show it: without a leading image mark, and without folders."""
+    return basename(F.regexp_replace(name, r"^\[Image\] ", ""))
+
+
 def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^a-zA-Z0-9_\-.]", "_")
 
@@ -115,6 +125,7 @@ def relative_age(then: Column, now: Column) -> Column:
     )
 
 
+#: The words that ask for an image.
 INTENT = ("figure", "diagram", "image", "screenshot", "shown", "picture")
 
 

@@ -1,22 +1,21 @@
 """Semantic chunks as contiguous ranges of sentences, found by one fold over each text's sentences.
 
 The fold's state is the start of the open chunk and the ranges so far; sentences are sliced afterwards. With prefix sums
-of tokens, the size of the open chunk and the overlap are differences, so no text is carried along.
+of tokens, the size of the open chunk and the overlap are differences, so no text is carried along. The token counter is
+a function from an array of sentences to their sizes. Where the embedder fails on a text, its similarities are null, and
+the text is cut by tokens alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Chunking
-from ..functions.text import sentences, word_tokens
-from ..providers import neighbour_similarity
-
-
-def prefix_sums(sizes: Column) -> Column:
-    """0, then the running sums."""
-    return F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+from ..functions.text import sentences, word_sizes
+from ..providers import Embedder, neighbour_similarity, running
 
 
 def chunk_ranges(sizes: Column, sums: Column, similar: Column | None, c: Chunking = Chunking()) -> Column:
@@ -28,7 +27,7 @@ def chunk_ranges(sizes: Column, sums: Column, similar: Column | None, c: Chunkin
         used = upto(i) - upto(state["s"])
         split = used + F.element_at(sizes, i) > c.max_tokens
         if similar is not None:
-            split = split | ((used >= c.min_tokens) & (F.element_at(similar, i) < c.threshold))
+            split = split | F.coalesce((used >= c.min_tokens) & (F.element_at(similar, i) < c.threshold), F.lit(False))
         fits = F.filter(F.sequence(state["s"], i), lambda j: upto(i) - upto(j) <= c.overlap)
         closed = F.struct(state["s"].alias("s"), (i - 1).alias("e"))
         opened = F.struct(F.get(fits, F.lit(0)).alias("s"), F.concat(state["r"], F.array(closed)).alias("r"))
@@ -40,19 +39,19 @@ def chunk_ranges(sizes: Column, sums: Column, similar: Column | None, c: Chunkin
     return F.when(n == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(ended)
 
 
-def ranged(docs: DataFrame, semantic: bool, c: Chunking = Chunking()) -> DataFrame:
+def ranged(docs: DataFrame, semantic: bool, c: Chunking = Chunking(), tokens: Callable[[Column], Column] = word_sizes, model: Embedder | None = None) -> DataFrame:
     """docs (with text) with sentences, sizes, sums and ranges."""
     out = docs.withColumn("sentences", sentences(F.coalesce("text", F.lit(""))))
-    out = out.withColumn("sizes", F.transform("sentences", word_tokens)).withColumn("sums", prefix_sums(F.col("sizes")))
+    out = out.withColumn("sizes", tokens(F.col("sentences"))).withColumn("sums", running(F.col("sizes")))
     if semantic:
-        out = out.withColumn("similar", neighbour_similarity(F.col("sentences")))
+        out = out.withColumn("similar", neighbour_similarity(F.col("sentences"), model))
     return out.withColumn("ranges", chunk_ranges(F.col("sizes"), F.col("sums"), F.col("similar") if semantic else None, c))
 
 
-def chunks(docs: DataFrame, semantic: bool = True, c: Chunking = Chunking()) -> DataFrame:
+def chunks(docs: DataFrame, semantic: bool = True, c: Chunking = Chunking(), tokens: Callable[[Column], Column] = word_sizes, model: Embedder | None = None) -> DataFrame:
     """One row per chunk: the columns of docs but text, chunk_index, s, e, n_tokens, content."""
     keep = [x for x in docs.columns if x != "text"]
-    rows = ranged(docs, semantic, c).select(*keep, "sentences", "sums", F.posexplode_outer("ranges").alias("chunk_index", "range"))
+    rows = ranged(docs, semantic, c, tokens, model).select(*keep, "sentences", "sums", F.posexplode_outer("ranges").alias("chunk_index", "range"))
     rows = rows.where("chunk_index is not null")  # an inner explode would push a test of the ranges below, and compute them twice
     s, e = F.col("range.s"), F.col("range.e")
     return rows.select(

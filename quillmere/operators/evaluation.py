@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Evaluation
-from ..functions.replies import context_texts, judged
+from ..functions.replies import bare, context_texts, judged
 from ..functions.text import is_blank
 from ..functions.vectors import dot, norm
 from ..providers import Embedder, Generator, HashedEmbedder, embedding, generated
@@ -82,25 +82,44 @@ def embedding_scores(triplets: DataFrame, c: Evaluation = Evaluation(), model: E
     return rows.withColumn("faithfulness_score", faithful).withColumn("context_relevancy_score", relevant).drop("__a", "__q", "__c")
 
 
+def answer_relevancy(reply: Column, questions: Column, anchor: Column, vectors: Column) -> Column:
+    """Of a reply (text, error) with its questions and the vectors of these and of the query."""
+    failed = reply["error"].isNotNull() | bare(reply["text"])
+    return F.when(failed, 0.5).when(questions.isNotNull(), similarity_score(anchor, vectors))
+
+
+def zipped(queries: DataFrame, answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Triplets by position from (position, query), (position, answer) and (position, contexts).
+
+    Raises ValueError where the three differ in number or positions.
+    """
+    sizes = [df.count() for df in (queries, answers, contexts)]
+    out = queries.join(answers, "position").join(contexts, "position")
+    if len(set(sizes)) > 1 or out.count() != sizes[0]:
+        raise ValueError(f"queries, answers and contexts differ: {sizes}")
+    return out
+
+
 def evaluated(triplets: DataFrame, judge: Generator | None = None, model: Embedder | None = None, c: Evaluation = Evaluation()) -> DataFrame:
     """triplets (query, answer, contexts) with the three scores and num_contexts.
 
     With a judge, its replies give the scores and embeddings stand in where a reply gives none; without, embeddings do.
-    The answer relevancy of a reply without questions is null.
+    The answer relevancy of a reply without questions is null; where the judge fails, or its reply is a bare number, 0.5.
     """
     rows = embedding_scores(triplets.withColumn("texts", context_texts(F.col("contexts"))), c, model).withColumn("num_contexts", F.size("texts"))
     if judge is None:
         return rows.withColumn("answer_relevancy_score", F.when(is_blank(F.col("answer")), 0.0).cast("double")).drop("texts")
     ask = lambda prompt: judged(generated(prompt, F.lit(""), judge)["text"])
     rows = rows.withColumn("__f", ask(faithfulness_prompt(F.col("answer"), F.col("texts"), c)))
-    rows = rows.withColumn("__q", ask(questions_prompt(F.col("answer"), c))).withColumn("__r", ask(relevancy_prompt(F.col("query"), F.col("texts"), c)))
+    rows = rows.withColumn("__g", generated(questions_prompt(F.col("answer"), c), F.lit(""), judge, temperature=0.0, max_tokens=400))
+    rows = rows.withColumn("__q", judged(F.col("__g.text"))).withColumn("__r", ask(relevancy_prompt(F.col("query"), F.col("texts"), c)))
     some = (F.size("texts") > 0) & ~is_blank(F.col("answer"))
     rows = rows.withColumn("faithfulness_score", F.when(some, F.coalesce("__f.faithfulness_score", "faithfulness_score")).otherwise(0.0))
     rows = rows.withColumn("context_relevancy_score", F.when(F.size("texts") > 0, F.coalesce("__r.context_relevancy_score", "context_relevancy_score")).otherwise(0.0))
     rows = rows.withColumn("__e", embedded(F.col("__q.questions"), model)).withColumn("__v", embedding(F.col("query"), model))
-    asked = F.when(F.col("__q.questions").isNotNull(), similarity_score(F.col("__v"), F.col("__e")))
+    asked = answer_relevancy(F.col("__g"), F.col("__q.questions"), F.col("__v"), F.col("__e"))
     rows = rows.withColumn("answer_relevancy_score", F.when(is_blank(F.col("answer")), 0.0).otherwise(asked))
-    return rows.drop("__f", "__q", "__r", "__e", "__v", "texts")
+    return rows.drop("__f", "__g", "__q", "__r", "__e", "__v", "texts")
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Retrieval
 from ..functions.text import keyword_tokens
 
-#: Queries are answered in blocks of this many vectors, each a matrix that every task holds.
+#: Queries up to this number are sent to every task; more are answered in blocks of about so many.
 QUERY_BLOCK = 4096
+#: Rows of the collection in a unit beside a block of queries, and distances that a task holds at once.
+PART_ROWS, CELLS = 50_000, 4_000_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
@@ -27,39 +29,68 @@ def distances(queries: np.ndarray, batch: np.ndarray, metric: str) -> np.ndarray
     return 1 - np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
 
 
+def nearest_rows(names: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of distances (queries x rows): the queries and rows of the k nearest of each, equal distances by name."""
+    if d.shape[1] > k:
+        bar = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        query, row = np.nonzero(d <= bar)
+    else:
+        query, row = (x.ravel() for x in np.indices(d.shape))
+    by_name = np.empty(len(names), dtype=np.int64)
+    by_name[np.argsort(names, kind="stable")] = np.arange(len(names))
+    order = np.lexsort((by_name[row], d[query, row], query))
+    query, row = query[order], row[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], row[place < k]
+
+
+def nearest(ids: np.ndarray, matrix: np.ndarray, names: np.ndarray, rows: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """query_id, id, distance of the k nearest rows of each query; at most CELLS distances are held at once."""
+    out, step = [], max(1, CELLS // max(1, len(names)))
+    for at in range(0, len(ids), step):
+        d = np.round(distances(matrix[at : at + step], rows, metric), 6) + 0.0
+        query, row = nearest_rows(names, d, k)
+        out.append(pd.DataFrame({"query_id": ids[at : at + step][query], "id": names[row], "distance": d[query, row]}))
+    return pd.concat(out)
+
+
 def knn(queries: DataFrame, collection: DataFrame, k: int, metric: str = "cosine", block: int = QUERY_BLOCK) -> DataFrame:
     """Of queries (query_id, embedding) and collection (id, embedding): query_id, id, distance, rank for the k nearest.
 
-    Each task multiplies its Arrow batches with the block of queries and passes on the k nearest of a batch only, so the
-    shuffle carries k rows a query and batch. Distances are rounded to 6 places before ranking; equal ones rank by id.
+    Up to block queries are sent to all tasks, and the collection is not shuffled. More queries are cut into blocks, and
+    the collection into parts of PART_ROWS; each pair of a block and a part is one unit, so what a task holds is bounded.
+    Either way only the k nearest of a batch or unit go on. Distances are rounded to 6 places before ranking; equal ones
+    rank by id.
     """
-    collection = collection.select("id", "embedding")
+    collection, queries = collection.select("id", "embedding"), queries.select("query_id", "embedding")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {collection.schema['id'].dataType.simpleString()}, distance double"
-    out, last = None, None
-    ordered = queries.select("query_id", "embedding").orderBy("query_id")
-    while True:
-        rows = (ordered if last is None else ordered.where(F.col("query_id") > last)).limit(block).collect()
-        if not rows and out is not None:
-            break
-        ids = np.array([r.query_id for r in rows], dtype=object)
-        matrix = np.array([r.embedding for r in rows], dtype=float) if rows else np.zeros((0, 1))
-
-        def nearest(batches, ids=ids, matrix=matrix):
+    few = queries.limit(block + 1).collect()
+
+    def vectors(column: pd.Series) -> np.ndarray:
+        return np.stack(column.to_numpy()).astype(float)
+
+    if len(few) <= block:
+        ids = np.array([r.query_id for r in few], dtype=object)
+        matrix = np.array([r.embedding for r in few], dtype=float) if few else np.zeros((0, 1))
+
+        def scan(batches):
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                d = np.round(distances(matrix, np.stack(batch["embedding"].to_numpy()).astype(float), metric), 6) + 0.0
-                names = batch["id"].to_numpy()
-                n = min(k, len(names))
-                by_id = np.argsort(names, kind="stable")
-                order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :n]]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": names[order].ravel(), "distance": np.take_along_axis(d, order, axis=1).ravel()})
-
-        part = collection.mapInPandas(nearest, kinds)
-        out = part if out is None else out.unionByName(part)
-        if len(rows) < block:
-            break
-        last = rows[-1].query_id
+                if len(batch) and len(ids):
+                    yield nearest(ids, matrix, batch["id"].to_numpy(), vectors(batch["embedding"]), k, metric)
+
+        out = collection.mapInPandas(scan, kinds)
+    else:
+        blocks, parts = -(-queries.count() // block), max(1, -(-collection.count() // PART_ROWS))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = queries.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("p", every(parts))
+        right = collection.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("b", every(blocks))
+
+        def unit(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked) or not len(rows):
+                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+            return nearest(asked["query_id"].to_numpy(), vectors(asked["embedding"]), rows["id"].to_numpy(), vectors(rows["embedding"]), k, metric)
+
+        out = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(unit, kinds)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,25 +19,36 @@ SCHEMAS = {
 
 
 def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose id is not stored yet; of equal new ids one."""
-    return rows.dropDuplicates(["id"]).join(stored.select("id"), "id", "left_anti")
+    """Rows whose id is not stored yet; of equal new ids the first by the other columns that have an order."""
+    others = [f.name for f in rows.schema if f.name != "id" and isinstance(f.dataType, T.AtomicType)]
+    order = Window.partitionBy("id").orderBy(*others) if others else Window.partitionBy("id").orderBy("id")
+    first = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return first.join(stored.select("id"), "id", "left_anti")
 
 
 class Store:
-    """Two collections under one folder; the metric is fixed when the store is made."""
+    """Two collections under one folder; the metric is fixed when the store is made, and kept beside the data."""
 
-    def __init__(self, spark: SparkSession, folder: str, metric: str = "cosine"):
-        if metric not in ("cosine", "l2", "ip"):
+    def __init__(self, spark: SparkSession, folder: str, metric: str | None = None):
+        if metric not in (None, "cosine", "l2", "ip"):
             raise ValueError(f"unknown metric {metric}")
-        self.spark, self.folder, self.metric = spark, folder.rstrip("/"), metric
+        self.spark, self.folder = spark, folder.rstrip("/")
+        if not self._exists("settings"):
+            spark.createDataFrame([(metric or "cosine",)], "metric string").coalesce(1).write.parquet(f"{self.folder}/settings")
+        self.metric = spark.read.schema("metric string").parquet(f"{self.folder}/settings").first().metric
+        if metric not in (None, self.metric):
+            raise ValueError(f"the store was made for {self.metric}, not {metric}")
         for name in SCHEMAS:
             if not self._exists(name):
                 self.clear(name)
 
+    @staticmethod
+    def exists(spark: SparkSession, folder: str, name: str = "settings") -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
     def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.exists(self.spark, self.folder, name)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
@@ -45,25 +59,36 @@ class Store:
             self.spark.createDataFrame([], SCHEMAS[name]).write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
     def _add(self, name: str, rows: DataFrame, vectors: DataFrame) -> None:
-        if rows.isEmpty() or vectors.isEmpty():
-            return
-        joined = rows.join(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id", "left")
-        if not joined.where("embedding is null").isEmpty() or rows.count() != vectors.count():
-            raise ValueError("rows and embeddings differ in number or ids")
+        joined = rows.withColumn("__row", F.lit(1)).join(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id", "full")
         columns = [joined[f.name].cast(f.dataType).alias(f.name) if f.name in joined.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
-        new_rows(joined.select(*columns), self.read(name)).write.mode("append").parquet(f"{self.folder}/{name}")
+        # written once, so that no model runs again for the checks
+        staged = f"{self.folder}/_staged/{uuid.uuid4().hex}"
+        joined.select(*columns, "__row").write.parquet(staged)
+        made = self.spark.read.parquet(staged)
+        both = made.agg(F.count("__row").alias("rows"), F.count("embedding").alias("vectors"), F.count("*").alias("n")).first()
+        try:
+            if both.rows and both.vectors and not both.rows == both.vectors == both.n:
+                raise ValueError("rows and embeddings differ in number or ids")
+            if both.rows and both.vectors:
+                new_rows(made.drop("__row"), self.read(name)).write.mode("append").parquet(f"{self.folder}/{name}")
+        finally:
+            self._remove(staged)
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     def add_text_chunks(self, chunks: DataFrame, vectors: DataFrame) -> None:
         """chunks: id, content, file_name, page_num, metadata; vectors: id, embedding. Known ids are left as they are."""
-        self._add("text_chunks", chunks, vectors)
+        self._add("text_chunks", with_metadata(chunks, ["file_name", "page_num"]), vectors)
 
     def add_images(self, images: DataFrame, vectors: DataFrame) -> None:
         """images: file_name, page_num, img_num, content (the description), image_path, metadata; ids follow from these."""
-        self._add("image_descriptions", images.withColumn("id", row_id(F.col("file_name"), F.col("page_num"), F.col("img_num"))), vectors)
+        named = images.withColumn("id", row_id(F.col("file_name"), F.col("page_num"), F.col("img_num")))
+        self._add("image_descriptions", with_metadata(named, ["file_name", "page_num", "img_num", "image_path"]), vectors)
 
     def counts(self) -> DataFrame:
-        parts = [self.read(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("collection"), "n") for n in SCHEMAS]
-        return parts[0].unionByName(parts[1])
+        return collection_counts({n: self.read(n) for n in SCHEMAS})
 
     def require_content(self) -> None:
         """Raises ValueError where both collections are empty."""
@@ -71,6 +96,20 @@ class Store:
             raise ValueError("the store holds neither texts nor images; ingest documents first")
 
 
+def collection_counts(collections: dict[str, DataFrame]) -> DataFrame:
+    """Per collection its name and number of rows."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("collection"), "n") for name, df in collections.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def flattened(fixed: dict, metadata):
     """The fixed fields as strings, overridden by metadata of the same name."""
-    return F.map_concat(F.create_map(*(x for k, v in fixed.items() for x in (F.lit(k), v.cast("string")))), F.coalesce(metadata, F.create_map().cast("map<string,string>")))
+    given = F.coalesce(metadata, F.create_map().cast("map<string,string>"))
+    own = F.create_map(*(x for k, v in fixed.items() for x in (F.lit(k), v.cast("string"))))
+    return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(given, k)), given)
+
+
+def with_metadata(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows whose metadata holds these columns too, as far as they are there."""
+    given = F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("map<string,string>")
+    return rows.withColumn("metadata", flattened({n: F.col(n) for n in names if n in rows.columns}, given))

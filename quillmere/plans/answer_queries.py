@@ -172,6 +172,9 @@ lf AS (SELECT g.*, 16000 - length(b.context) AS l FROM i_gate g JOIN bud b USING
 SELECT q.query_id, {q(P.SYSTEM["general"])} AS system_prompt, concat_ws(chr(10), {q(user_parts[0])}, {q(user_parts[1])} || coalesce(b.context, 'No relevant text context found.'),
   {q(user_parts[2])} || k.context, {q(user_parts[3])} || q.query || {q(user_parts[4])}) AS user_prompt
 FROM q LEFT JOIN bud b USING (query_id) LEFT JOIN k_bud k USING (query_id)""",
+    "rag_answer": f"""WITH {TEXT_WITH}, {budget_sql("hyb", "16000", 5)},
+an AS (SELECT q.query_id, context, list_filter(regexp_split_to_array(regexp_extract(context, '(?s)```text\n(.*?)\n```', 1), '\\s+'), lambda x: x <> '') AS words FROM q LEFT JOIN bud b USING (query_id))
+SELECT query_id, CASE WHEN contains(context, '```text') THEN array_to_string(words[1:40], ' ') ELSE 'No context was found.' END AS answer FROM an""",
     "sources_footer": f"""WITH {TEXT_WITH}, {IMAGE_WITH},
 u AS (SELECT query_id, 0 AS image, rank, file_name, page_num FROM hyb WHERE rank <= 5 UNION ALL SELECT query_id, 1, rank, file_name, page_num FROM i_gate),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY image, rank) AS number FROM u)

@@ -11,6 +11,7 @@ from ..functions.vectors import cosine
 from ..operators import images as I
 from ..operators import retrieval as R
 from ..operators.prompts import search_report as report
+from ..operators.store import collection_counts as counts_of
 from ..operators.store import new_rows
 from ..session import table
 from .fragments import IMAGES_SQL, TEXTS_SQL, asked, gated_sql, hybrid_sql, images, texts
@@ -132,8 +133,7 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def collection_counts(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(c).alias("collection"), "n") for c, t in (("text_chunks", "documents"), ("image_descriptions", "pages"))]
-    return parts[0].unionByName(parts[1])
+    return counts_of({"text_chunks": table(spark, d, "documents"), "image_descriptions": table(spark, d, "pages")})
 
 
 QUERIES = {
@@ -154,7 +154,12 @@ PLACED = """p AS (SELECT 'manual ' || l_suppkey || '.pdf' AS file_name, l_linenu
 b AS (SELECT * FROM p WHERE y0 > page_height * 0.1::DOUBLE AND y1 < page_height * (1 - 0.1::DOUBLE)),
 k AS (SELECT * FROM b WHERE width >= 100 AND height >= 100 AND NOT n_colors <= 1)"""
 WITH = f"WITH {hybrid_sql(TEXTS_SQL)}"
+POINTS = lambda x: f"{x}::DECIMAL(18, 7)::DECIMAL(18, 3)::VARCHAR"
 ORACLES = {
+    "search_report": f"""WITH {hybrid_sql(TEXTS_SQL)}
+SELECT query_id, rank, '[' || rank || '] Score: ' || {POINTS("score")} || ' (Semantic: ' || {POINTS("semantic_score")} || ', Keyword: ' || {POINTS("keyword_score")} || ')' || chr(10)
+  || 'Source: ' || file_name || ', Page: ' || page_num || chr(10) || 'Content: ' || left(content, 200) || CASE WHEN length(content) > 200 THEN '...' ELSE '' END AS report
+FROM hyb WHERE rank <= 10""",
     "knn_cosine": knn_sql("1 - list_cosine_similarity(a.v, b.v)"),
     "knn_l2": knn_sql("list_distance(a.v, b.v) * list_distance(a.v, b.v)"),
     "knn_ip": knn_sql("1 - list_inner_product(a.v, b.v)"),

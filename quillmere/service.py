@@ -6,15 +6,18 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from .config import Config
+from dataclasses import dataclass, replace
+
+from .config import Config, load
 from .functions.text import is_blank
 from .operators.prompts import rag_prompts, source_rows, sources_footer
 from .operators.retrieval import gated, hybrid_search
 from .operators.store import Store
-from .providers import Embedder, Generator, embedding, generated
+from .providers import Embedder, Generator, answered, embedding, generated
+from .sources.files import image_bytes
 
 if TYPE_CHECKING:
-    from pyspark.sql import Column, DataFrame
+    from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def valid_queries(queries: DataFrame) -> DataFrame:
@@ -22,7 +25,8 @@ def valid_queries(queries: DataFrame) -> DataFrame:
 
 
 def search(store: Store, queries: DataFrame, include_images: bool = True, model: Embedder | None = None, c: Config = Config()) -> tuple[DataFrame, DataFrame | None]:
-    """The text and the gated image results of each query; the image branch is not planned where it is not wanted."""
+    """The text and the gated image results of each query, by the store's metric; the image branch is not planned where it is not wanted."""
+    c = replace(c, retrieval=replace(c.retrieval, metric=store.metric))
     asked = valid_queries(queries).withColumn("embedding", embedding(F.col("query"), model))
     texts = hybrid_search(asked, store.read("text_chunks"), c.retrieval.top_k_final, c.retrieval)
     if not include_images:
@@ -31,12 +35,20 @@ def search(store: Store, queries: DataFrame, include_images: bool = True, model:
     return texts, gated(images, c.retrieval.image_gate)
 
 
-def answers(store: Store, queries: DataFrame, include_images: bool = True, domain: str = "general", generator: Generator | None = None, model: Embedder | None = None, c: Config = Config()) -> DataFrame:
-    """query_id, query, answer, sources, timestamp. Blank queries are left out."""
+def answers(store: Store, queries: DataFrame, include_images: bool = True, domain: str = "general", generator: Generator | None = None, model: Embedder | None = None, c: Config = Config(), image_folder: str | None = None) -> DataFrame:
+    """query_id, query, answer, sources, timestamp. Blank queries are left out.
+
+    With image_folder, the files of the images found go to the model with the prompt.
+    """
     texts, images = search(store, queries, include_images, model, c)
     asked = valid_queries(queries)
     prompts = rag_prompts(asked, texts, images, domain, c.prompting)
-    replies = prompts.withColumn("reply", generated(F.col("user_prompt"), F.col("system_prompt"), generator, max_tokens=2048))
+    if images is not None and image_folder:
+        pictures = image_bytes(store.spark, images, image_folder, c.prompting.max_image_results)
+        prompts = prompts.join(pictures, "query_id", "left")
+        replies = prompts.withColumn("reply", answered(F.col("user_prompt"), F.col("system_prompt"), F.col("images"), generator, max_tokens=2048))
+    else:
+        replies = prompts.withColumn("reply", generated(F.col("user_prompt"), F.col("system_prompt"), generator, max_tokens=2048))
     rows = source_rows(texts, images, c.prompting)
     shown = F.struct("isImage", "position", "documentName", "pageNumber", "relevance", "excerpt", "fullText", "imagePath")
     listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(shown)).alias("sources"))
@@ -50,6 +62,34 @@ def with_footer(answered: DataFrame, texts: DataFrame, images: DataFrame | None)
     return answered.join(footers, "query_id", "left").withColumn("answer", F.concat("answer", F.coalesce("footer", F.lit("")))).drop("footer")
 
 
+@dataclass(frozen=True)
+class Engine:
+    """A store with content, its configuration and its models."""
+
+    store: Store
+    config: Config
+    embedder: Embedder | None = None
+    generator: Generator | None = None
+
+    def search(self, queries: DataFrame, include_images: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        return search(self.store, queries, include_images, self.embedder, self.config)
+
+    def answers(self, queries: DataFrame, include_images: bool = True, domain: str = "general", image_folder: str | None = None) -> DataFrame:
+        return answers(self.store, queries, include_images, domain, self.generator, self.embedder, self.config, image_folder)
+
+    def health(self) -> dict:
+        return health(self.store)
+
+
+def engine(spark: SparkSession, folder: str, config_path: str | None = None, embedder: Embedder | None = None, generator: Generator | None = None) -> Engine:
+    """Opens a store and reads its configuration; raises ValueError where there is no store, or nothing in it."""
+    if not Store.exists(spark, folder):
+        raise ValueError(f"no store at {folder}; ingest documents first")
+    store = Store(spark, folder)
+    store.require_content()
+    return Engine(store, load(config_path) if config_path else Config(), embedder, generator)
+
+
 def health(store: Store | None) -> dict:
     """status, message, and the counts of the collections."""
     if store is None:

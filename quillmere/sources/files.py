@@ -82,14 +82,52 @@ def query_set(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("queries").alias("q")).select(F.col("q.id").alias("query_id"), F.col("q.query").alias("query"))
 
 
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of the local file system."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def image_bytes(spark: SparkSession, results: DataFrame, folder: str, limit: int = 3) -> DataFrame:
-    """Per query the bytes of the first limit images by rank; missing files are left out and not replaced."""
-    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(folder).select(basename(F.col("path")).alias("__n"), "content")
-    top = results.where(F.col("rank") <= limit).select("query_id", "rank", basename(F.col("image_path")).alias("__n"))
-    found = top.join(stored, "__n").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("x"))
+    """Per query the bytes of the first limit images by rank; missing files are left out and not replaced.
+
+    image_path is a whole path, or one below folder. The folder is listed first, and only files that are asked for are
+    read; up to LISTED of them by name, more by a join.
+    """
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").option("recursiveFileLookup", "true")
+    there = listing.load(folder).select(plain_path(F.col("path")).alias("__p"))
+    whole = F.when(F.col("image_path").rlike("^(/|[a-z0-9]+:)"), F.col("image_path")).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), "image_path"))
+    top = results.where(F.col("rank") <= limit).select("query_id", "rank", plain_path(whole).alias("__p"))
+    some = [r[0] for r in top.select("__p").distinct().join(there, "__p").limit(LISTED + 1).collect()]
+    read = spark.read.format("binaryFile").load(some) if 0 < len(some) <= LISTED else listing.load(folder).limit(0) if not some else listing.load(folder)
+    stored = read.select(plain_path(F.col("path")).alias("__p"), "content")
+    found = top.join(stored, "__p").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "content"))).alias("x"))
     return found.select("query_id", F.transform("x", lambda x: x["content"]).alias("images"))
 
 
+#: Files that are named one by one when they are read.
+LISTED = 10_000
+
+
+def saved_images(images: DataFrame) -> DataFrame:
+    """Writes the content of each row to its image_path, on any file system that Arrow knows; returns the rows written.
+
+    Rows are written by the tasks that make them; a task that runs again writes the same bytes to the same path.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path, content in zip(batch["image_path"], batch["content"], strict=True):
+                at, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                at.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with at.open_output_stream(name) as out:
+                    out.write(content)
+            yield batch
+
+    return images.mapInPandas(run, images.schema)
+
+
 def served_image(spark: SparkSession, folder: str, name: str) -> bytes | None:
     """The bytes of one image by its file name, or None."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", basename_only(name)).load(folder).select("content").limit(1).collect()

@@ -11,9 +11,9 @@ from quillmere.operators import evaluation as E
 from quillmere.operators import images as I
 from quillmere.operators import prompts as P
 from quillmere.operators import retrieval as R
-from quillmere.operators.store import Store, flattened
-from quillmere.providers import embedding
-from quillmere.service import answers, error_text, health, with_footer
+from quillmere.operators.store import Store, flattened, new_rows
+from quillmere.providers import described, embedding, running, subword_sizes
+from quillmere.service import answers, engine, error_text, health, search, with_footer
 from quillmere.sources import files
 
 
@@ -35,7 +35,7 @@ def test_chunk_ranges_match_a_plain_loop(spark):
     r, c = random.Random(3), Chunking(40, 15, 0.5, 8)
     rows = [([r.randint(1, 30) for _ in range(r.randint(0, 40))],) for _ in range(120)]
     rows = [(i, s, [r.random() for _ in s]) for i, (s,) in enumerate(rows)]
-    df = spark.createDataFrame(rows, "i int, sizes array<int>, sim array<double>").withColumn("sums", C.prefix_sums(F.col("sizes")))
+    df = spark.createDataFrame(rows, "i int, sizes array<int>, sim array<double>").withColumn("sums", running(F.col("sizes")))
     for sim in (F.col("sim"), None):
         found = {x.i: [tuple(p) for p in x.r] for x in df.select("i", C.chunk_ranges(F.col("sizes"), F.col("sums"), sim, c).alias("r")).collect()}
         for i, s, m in rows:
@@ -44,7 +44,7 @@ def test_chunk_ranges_match_a_plain_loop(spark):
 
 @pytest.mark.parametrize(("sizes", "expected"), [([10, 600], [(1, 1), (1, 2)]), ([600], [(1, 1)]), ([], [])])
 def test_chunk_fixtures(spark, sizes, expected):
-    df = spark.createDataFrame([(sizes,)], "sizes array<int>").withColumn("sums", C.prefix_sums(F.col("sizes")))
+    df = spark.createDataFrame([(sizes,)], "sizes array<int>").withColumn("sums", running(F.col("sizes")))
     assert [tuple(x) for x in df.select(C.chunk_ranges(F.col("sizes"), F.col("sums"), None).alias("r")).first().r] == expected
 
 
@@ -124,9 +124,20 @@ def test_evaluation(spark):
     judged = {r.answer: r for r in E.evaluated(df, Judge('{"faithfulness_score": 0.25, "questions": ["red fox"]}')).collect()}
     assert judged["red fox"].faithfulness_score == 0.25
     assert judged["red fox"].answer_relevancy_score == pytest.approx(1.0)
-    down = {r.answer: r for r in E.evaluated(df, Judge(None)).collect()}
-    assert down["red fox"].answer_relevancy_score is None
-    assert down["red fox"].faithfulness_score == pytest.approx(1.0)
+    for judge in (Judge(None), Judge("5"), Judge("true")):
+        down = {r.answer: r for r in E.evaluated(df, judge).collect()}
+        assert down["red fox"].answer_relevancy_score == 0.5
+        assert down[" "].answer_relevancy_score == 0.0
+        assert down["red fox"].faithfulness_score == pytest.approx(1.0)
+    for reply in ('{"other": 1}', "0", "false", '"words"', "no json"):
+        assert {r.answer: r.answer_relevancy_score for r in E.evaluated(df, Judge(reply)).collect()}["red fox"] is None
+
+
+def test_triplets_of_unequal_length(spark):
+    make = lambda name, n: spark.createDataFrame([(i, str(i)) for i in range(n)], f"position int, {name} string")
+    assert E.zipped(make("query", 3), make("answer", 3), make("contexts", 3)).count() == 3
+    with pytest.raises(ValueError):
+        E.zipped(make("query", 3), make("answer", 2), make("contexts", 3))
 
 
 def test_summary_uses_the_population_deviation(spark):
@@ -161,6 +172,13 @@ def test_store_service_and_stream(spark, tmp_path):
         store.add_images(pictures, pictures.select(F.lit("other").alias("id"), embedding(F.col("content")).alias("embedding")))
     with pytest.raises(ValueError):
         Store(spark, str(tmp_path / "s2"), "manhattan")
+    assert store.read("text_chunks").first().metadata["file_name"] == "a.pdf"
+    assert store.read("image_descriptions").first().metadata["image_path"] == "i/a.png"
+    assert Store(spark, str(tmp_path / "s3"), "l2").metric == Store(spark, str(tmp_path / "s3")).metric == "l2"
+    with pytest.raises(ValueError):
+        Store(spark, str(tmp_path / "s3"), "cosine")
+    twice = spark.createDataFrame([("n1", "b"), ("n1", "a"), ("n2", "c")], "id string, content string")
+    assert sorted(r.content for r in new_rows(twice, store.read("text_chunks")).collect()) == ["a", "c"]
     results = spark.createDataFrame([(1, 1, "a.pdf", 3)], "query_id int, rank int, file_name string, page_num int")
     shown = with_footer(spark.createDataFrame([(1, "yes"), (2, "no")], "query_id int, answer string"), results, results)
     assert {r.query_id: r.answer for r in shown.collect()} == {1: "yes\n\n**Sources:**\n1. a.pdf, Page 3\n2. a.pdf, Page 3 (Image)", 2: "no"}
@@ -180,8 +198,10 @@ def test_sources(spark, tmp_path):
     assert placed.first().xref == 5
     (tmp_path / "q.json").write_text('{"queries": [\n{"id": 1, "query": "a"}, {"id": 2, "query": "b"}]}')
     assert files.query_set(spark, str(tmp_path / "q.json")).count() == 2
-    hits = spark.createDataFrame([(1, 1, "x/missing.png"), (1, 2, "x/p.png"), (1, 9, "x/p.png")], "query_id int, rank int, image_path string")
-    assert [bytes(b) for b in files.image_bytes(spark, hits, str(tmp_path)).first().images] == [b"png"]
+    (tmp_path / "sub" / "p.png").write_bytes(b"other")
+    hits = spark.createDataFrame([(1, 1, "x/missing.png"), (1, 2, "p.png"), (1, 3, f"{tmp_path}/sub/p.png"), (1, 9, "p.png")], "query_id int, rank int, image_path string")
+    assert [bytes(b) for b in files.image_bytes(spark, hits, str(tmp_path)).first().images] == [b"png", b"other"]
+    assert files.image_bytes(spark, hits.where("rank = 1"), str(tmp_path)).count() == 0
     assert files.served_image(spark, str(tmp_path), "../p.png") == b"png"
     assert files.served_image(spark, str(tmp_path), "none.png") is None
 
@@ -193,5 +213,66 @@ def test_config_and_errors(spark, tmp_path):
     df = spark.createDataFrame([(None,), (503,), (500,)], "s int").select(error_text(F.col("s")).alias("t"))
     assert len({r.t for r in df.collect()}) == 3
     merged = spark.createDataFrame([({"page_num": "9"},)], "m map<string,string>")
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     assert merged.select(flattened({"file_name": F.lit("a"), "page_num": F.lit(1)}, F.col("m")).alias("m")).first().m == {"file_name": "a", "page_num": "9"}
+
+
+class Seer:
+    """Describes and answers by what it is given; fails on one image."""
+
+    def generate(self, prompt, temperature, max_tokens, system=None):
+        return "text only"
+
+    def describe(self, prompt, images, temperature, max_tokens):
+        if images[0] == b"broken":
+            raise RuntimeError("down")
+        return f"{len(images)} of {images[0].decode()} fox {'fox runs' in prompt}"
+
+
+def test_folder_to_answers_with_images(spark, tmp_path):
+    from quillmere.streaming.ingest import ingest_folder
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "my book.pdf").write_bytes(b"The red fox runs. It is quick.\x0cA blue bird sings.\x0c")
+    place = lambda page, n, xref, png, y0=20.0, colors=9: (page, n, xref, y0, 50.0, 100.0, 200, 200, colors, png)
+    placed = [place(1, 1, 7, b"one"), place(2, 1, 7, b"one"), place(2, 2, 8, b"broken"), place(1, 2, 9, b"x", y0=1.0), place(1, 3, 10, b"x", colors=1)]
+    store, pictures = Store(spark, str(tmp_path / "store")), str(tmp_path / "pictures")
+    with pytest.raises(ValueError):
+        engine(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError):
+        engine(spark, str(tmp_path / "nowhere"))
+    for _ in range(2):
+        out = ingest_folder(spark, store, str(tmp_path / "in"), pictures, generator=Seer(), page_reader=lambda b: b.decode().split("\x0c"), image_reader=lambda b: placed).first()
+        assert tuple(out) == (3, 1, 1, 2)
+    assert (tmp_path / "pictures" / "my_book.pdf_p1_i1.png").read_bytes() == b"one"
+    rows = {r.id: r for r in store.read("image_descriptions").collect()}
+    assert rows["my book.pdf_p1_i1"].content == "1 of one fox True"
+    assert rows["my book.pdf_p2_i2"].content == "Image from page. Context: A blue bird sings."
+    assert rows["my book.pdf_p1_i1"].metadata["xref"] == "7"
+    made = engine(spark, str(tmp_path / "store"), generator=Seer())
+    assert made.health()["vectorDBStats"] == {"textChunks": 2, "images": 2}
+    asked = spark.createDataFrame([(1, "red fox picture")], "query_id int, query string")
+    assert made.answers(asked, image_folder=pictures).first().answer.startswith("1 of one") or made.answers(asked, image_folder=pictures).first().answer == "text only"
+    assert made.answers(asked, include_images=False, image_folder=pictures).first().answer == "text only"
+    texts, _ = search(Store(spark, str(tmp_path / "store")), asked)
+    assert texts.count() == 2
+
+
+def test_descriptions_without_image_input(spark):
+    df = spark.createDataFrame([(b"x", "some words"), (b"x", "")], "content binary, context string")
+    found = [r[0] for r in df.select(described(F.col("content"), F.col("context"), "general")).collect()]
+    assert found == ["Image from general document. Context: some words", "Image from general document. Context: No context available"]
+
+
+class Broken:
+    def embed(self, texts):
+        raise RuntimeError("down")
+
+
+def test_chunks_by_subwords_and_without_an_embedder(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"Internationalization number {i} is here." for i in range(300)))], "doc_id int, text string")
+    by_tokens = C.chunks(docs, semantic=False).collect()
+    assert C.chunks(docs, model=Broken()).collect() == by_tokens
+    counter = subword_sizes("/opt/tokenizers/word_bpe_49k.json")
+    small = C.chunks(docs, semantic=False, tokens=counter).collect()
+    assert len(small) > len(by_tokens)
+    assert all(r.n_tokens <= 512 for r in small)
