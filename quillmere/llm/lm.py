@@ -5,7 +5,8 @@ keeps each distinct n-gram once with its count; so a frequent n-gram costs one e
 These entries are partitioned by hash range into buckets, where the count tables are summed; the totals are joined back to
 the exploded n-grams of each batch, position by position, and summed per document. The number of batches follows the
 bytes of the input, and a bucket takes as much as ``BUCKET_BATCHES`` batches, so the work of a task stays the same as the
-input grows. Entries travel as packed runs, one for each batch and bucket; like the blocks of any shuffle, their number is
+input grows; within a bucket, the sorted runs are summed range by range, so only one range is sorted in memory at a time.
+Entries travel as packed runs, one for each batch and bucket; like the blocks of any shuffle, their number is
 the product of the two.
 
 Two scores come of one pass. ``corpus_log_score`` sums the logarithm of count(n-gram) / count(context) over the words of a
@@ -30,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trim
 from .wordhash import WordHasher, pieces, shingles
 
 ORDER, ALPHA = 3, 0.4
-BATCH_BYTES, BUCKET_BATCHES = 10 << 20, 4
+BATCH_BYTES, BUCKET_BATCHES = 10 << 20, 2
+#: Entries of a bucket that are summed at once.
+STEP = 1 << 20
 CODEC = pa.Codec("zstd", compression_level=1)
 #: The name under which the number of words is counted.
 WORDS = np.uint64(0)
@@ -96,6 +100,23 @@ def bucket_edges(unique: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(at, np.arange(buckets + 1))
 
 
+def summed(grams: list[np.ndarray], counts: list[np.ndarray], step: int = STEP) -> list[np.ndarray]:
+    """The total of each n-gram of sorted runs, run by run; about step entries are sorted at once, by ranges of the hash."""
+    out = [np.empty(len(g), dtype=np.uint64) for g in grams]
+    cuts = max(1, -(-sum(map(len, grams)) // step))
+    low, high = min(int(g[0]) for g in grams), max(int(g[-1]) for g in grams) + 1
+    inner = np.array([low + (high - low) * k // cuts for k in range(1, cuts)], dtype=np.uint64)
+    edges = [np.concatenate([[0], np.searchsorted(g, inner), [len(g)]]) for g in grams]
+    for k in range(cuts):
+        runs = [slice(e[k], e[k + 1]) for e in edges]
+        _, inverse = np.unique(np.concatenate([g[r] for g, r in zip(grams, runs, strict=True)]), return_inverse=True)
+        weights = np.concatenate([c[r] for c, r in zip(counts, runs, strict=True)])
+        sums = np.bincount(inverse, weights=weights).astype(np.uint64)[inverse]
+        for whole, r, part in zip(out, runs, np.split(sums, np.cumsum([r.stop - r.start for r in runs])[:-1]), strict=True):
+            whole[r] = part
+    return out
+
+
 def places(grams: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each n-gram, its place among the distinct ones as `counted` has them, and how often its document has it."""
     flat = np.concatenate([np.zeros(1, np.uint64), *grams])
@@ -131,17 +152,19 @@ def scored(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, batch_byte
 
     def ask(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         unique, counts = counted(exploded(texts(group), order)[1])
+        trim()
         edges = bucket_edges(unique, buckets)
         full = np.flatnonzero(np.diff(edges))
         cut = [(slice(edges[k], edges[k + 1])) for k in full]
         return pd.DataFrame({"bucket": full.astype(np.int32), "batch": np.int32(key[0]), "grams": [pack_sorted(unique[c]) for c in cut], "counts": [planes(counts[c]) for c in cut]})
 
     def answer(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        grams = [unpack_sorted(g) for g in group["grams"]]
-        ends = np.cumsum([len(g) for g in grams])
-        _, inverse = np.unique(np.concatenate(grams), return_inverse=True)
-        sums = np.bincount(inverse, weights=np.concatenate([unplanes(c, np.uint32) for c in group["counts"]])).astype(np.uint64)[inverse]
-        return pd.DataFrame({"batch": group["batch"], "bucket": np.int32(key[0]), "totals": [planes(s) for s in np.split(sums, ends[:-1])]})
+        grams, counts = [unpack_sorted(g) for g in group.pop("grams")], [unplanes(c, np.uint32) for c in group.pop("counts")]
+        sums = summed(grams, counts)
+        del grams, counts
+        sums = [planes(x) for x in sums]
+        trim()
+        return pd.DataFrame({"batch": group["batch"], "bucket": np.int32(key[0]), "totals": sums})
 
     def score(key: tuple, group: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         sizes, grams = exploded(texts(group), order)

@@ -535,3 +535,16 @@ def test_oracles(spark, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(frame.columns)
     assert plain([tuple(r) for r in frame.collect()], frame.columns) == plain(result.fetchall(), columns)
+
+
+def test_summed_runs():
+    r = np.random.default_rng(5)
+    for runs, top, step in ((1, 50, 7), (5, 2**64 - 1, 13), (9, 400, 50), (3, 40, 10**6)):
+        grams = [np.unique(np.concatenate([[0], r.integers(0, top, 120, dtype=np.uint64, endpoint=True)]).astype(np.uint64)) for _ in range(runs)]
+        counts = [r.integers(1, 2**32 - 1, len(g)).astype(np.uint32) for g in grams]
+        total = Counter()
+        for g, c in zip(grams, counts):
+            for x, n in zip(g.tolist(), c.tolist()):
+                total[x] += n
+        for g, sums in zip(grams, lm.summed(grams, counts, step)):
+            assert sums.tolist() == [total[x] for x in g.tolist()]
