@@ -378,7 +378,7 @@ class Encoder:
         """The text of an array of piece ids."""
         pieces, _, kinds = self.key
         spelt = ["" if k == 2 else p[3:5] if k == 1 else p.replace(MARK, " ").encode().hex() for p, k in zip(pieces, kinds, strict=True)]
-        table = F.lit(spelt)
+        table = F.split(F.lit(",".join(spelt)), ",")  # one literal for the driver, folded to the array
         text = F.decode(F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(table, i)), "")), "UTF-8")
         return F.when(text.startswith(" "), F.substring(text, 2, (1 << 31) - 1)).otherwise(text)
 
