@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import sigmoid
-from .common import written
+from .common import trim, written
 
 ORDERS, BUCKETS = (4, 5), 1 << 19
 FEATURES, LEAST_DOCS, LABELS, SAMPLE = 4096, 4, 20_000, 10_000
@@ -141,6 +141,8 @@ def trained(docs: DataFrame, labels: DataFrame, features: int = FEATURES, least:
     del sample
     w, bias = fitted(starts, columns, y, ratio)
     weights[picked] = w * ratio
+    del columns
+    trim()
     return weights, bias + shift(all_of, {1: int(y.sum()), 0: int(len(y) - y.sum())}, bound)
 
 
