@@ -6,7 +6,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
-from . import dedup, lm, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
+from . import dedup, infill, language, lm, mixing, pieces, pii, quality, secret_scan, setjoin, toxicity, urls
 
 if TYPE_CHECKING:
     from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +82,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *span_columns(F.col("found"), secret_scan.BASE))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.identified(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return rows.select("doc_id", (toxicity.fold(F.col("doc_id")) == toxicity.HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.infilled(documents(spark, sf_dir).select("doc_id", "text"))
+    back = F.sha2(infill.restored(F.col("output"), F.col("form")), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 RE2_CLOSED = quality.CLOSED.replace("'", "''")
 
@@ -135,6 +146,19 @@ r AS (SELECT t.doc_id, g.keep_id, g.group_size, sha256(t.text) AS text_sha256,
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256 FROM r
 """
 
+SQL_OP12 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1,
+  ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -146,5 +170,7 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_url_filters": op9_url_filters,
     "op10_secret_scan": op10_secret_scan,
+    "op11_language": op11_language,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
-ORACLES = {"op2_quality_rules": SQL_OP2, "op6_mix_sources": SQL_OP6, "op7_exact_dedup": SQL_OP7}
+ORACLES = {"op2_quality_rules": SQL_OP2, "op6_mix_sources": SQL_OP6, "op7_exact_dedup": SQL_OP7, "op12_fill_in_middle": SQL_OP12}
