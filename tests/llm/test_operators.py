@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -393,6 +394,67 @@ def test_pii_base_spans(small):
         assert pii.base_spans(t) == plain_pii(t)
 
 
+HOSTILE = ["0" * 5000 + "1.1.1.1", "1." * 6000, "9" * 6000 + ".1.2.3", "0.0.0." + "0" * 9000 + "255", "+" + "0" * 7000 + "1", "4 " * 5000, "0" * 9000, "+1" + "(" * 5000 + "2", "a" * 9000 + "@b." + "c." * 4000, "AA00" + "0000" * 3000]
+
+
+def test_pii_of_hostile_texts(spark):
+    limit = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        expected = [plain_pii(t) for t in HOSTILE]
+    finally:
+        sys.set_int_max_str_digits(limit)
+    assert [pii.base_spans(t) for t in HOSTILE] == expected
+    assert ("ip", 0, 5007) in expected[0] and ("ip", 0, 9009) in expected[3]
+    docs = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in enumerate(HOSTILE)], DOCS)
+    for r in docs.select("doc_id", pii.found(F.col("text")).alias("x")).collect():
+        assert [(s.kind, s.start, s.end) for s in r.x if s.kind in pii.BASE] == expected[r.doc_id]
+
+
+#: Written by hand, not by the generator that trains the trees: text, and the kinds of the spans in it, in order.
+PLANTED = [
+    ("Please ring our office, telephone 415-555-0132, before noon.", ["phone_local"]), ("Fax: (212) 555 0199. Thank you.", ["phone_local"]), ("my cell is 646.555.0117 if you need me", ["phone_local"]),
+    ("Her SSN is 219-09-9999 and must stay private.", ["ssn"]), ("Social Security: 078-05-1120 on file", ["ssn"]), ("he gave his social security number 123-45-6789 away", ["ssn"]),
+    ("Please pay to IBAN GB82 WEST 1234 5698 7654 32 by Friday.", ["iban"]), ("Konto DE89370400440532013000, danke", ["iban"]), ("bank account FR1420041010050500013M02606 of the club", ["iban"]),
+    ("write to jane.roe (at) mailbox (dot) org for details", ["email_disguised"]), ("contact sales [at] firm.com today", ["email_disguised"]), ("reach me: bob {at} site [dot] net", ["email_disguised"]),
+    ("The device has MAC 00:1A:2B:3C:4D:5E printed below.", ["mac"]), ("ethernet adapter 3c-22-fb-90-ab-01 found", ["mac"]),
+    ("She was born 12.03.1975 in Ulm.", ["birth_date"]), ("date of birth: 1990-07-21", ["birth_date"]), ("DOB 4/15/1968, male", ["birth_date"]),
+    ("The total of order 4411-22-9087 is due.", []), ("Updated 2021-03-04 by the editor.", []), ("see page 12-44 and item 300-22", []), ("version 10-2-2020 of the tool", []), ("posted 3/4/2019 at noon", []),
+    ("ISBN 978-3-16-148410-0 costs 20-30 dollars", []), ("scores were 3-2 and 10-12 and 7-7", []), ("part AB12 3456 7890 1234 in stock", []), ("meet (at) home, not (at) work", []), ("ticket 12-34-56-78-90-12 closed", []), ("from 1990 to 2005, 12 of 30 were sold", []),
+]
+
+
+def test_pii_planted_outside_the_generator():
+    model, right, found, there = pii.Model(), 0, 0, 0
+    for text, kinds in PLANTED:
+        spans = [s[0] for s in model.added(text, pii.base_spans(text))]
+        right += sum((Counter(spans) & Counter(kinds)).values())
+        found, there = found + len(spans), there + len(kinds)
+    print(f"precision {right}/{found}, recall {right}/{there}")
+    assert right >= 0.9 * found and right >= 0.7 * there
+
+
+def test_proposals_equal_an_all_places_search():
+    """The generators against a search from every place, on texts of the characters that they look at."""
+    r = random.Random(12)
+    alphabets = {"ssn": "12-- ", "mac": "0aF:-", "birth_date": "1290./-", "phone_local": "12-. ()", "iban": "AB12 ", "email_disguised": "ab.[ ]at"}
+    seeds = {"ssn": "123-45-6789", "mac": "0a:1b:2c:3d:4e:5f", "birth_date": "1990-1-2", "phone_local": "(12) 34-56", "iban": "AB12 1234 5678", "email_disguised": "a [at] b.cc"}
+    for kind, pattern in pii.PROPOSALS.items():
+        seen = 0
+        for _ in range(400):
+            t = "".join(r.choice([seeds[kind], f", {seeds[kind]}; ", *alphabets[kind]]) for _ in range(r.randint(3, 25)))
+            out, at = [], 0
+            while at <= len(t):  # the first place at or after the last match's end at which the pattern matches
+                m = next((m for k in range(at, len(t)) if (m := pattern.match(t, k))), None)
+                if m is None:
+                    break
+                out.append((m.start(), m.end()))
+                at = m.end()
+            assert [(m.start(), m.end()) for m in pattern.finditer(t)] == out
+            seen += len(out)
+        assert seen > 20
+
+
 def test_pii_model_and_columns(spark, odd, none):
     text = "call me at phone (415) 555-1234, born 3.4.1980, mail joe.x [at] foo.com"
     df = odd.unionByName(spark.createDataFrame([(50, text, "en", "a", 1), (51, "version 1.2.3 order 12-44 of 2021", "en", "a", 1), (52, "é me@x.org", "en", "a", 1)], DOCS))
