@@ -11,9 +11,15 @@ Each cut has a few parts to spare, so the chance of a set to come that far falls
 make candidates of unrelated sets, whatever their number. Where parts would hold under 8 elements the space is cut finer,
 to MEAN elements a part at the top of an interval.
 
-Sets that share a part are candidate neighbours, and the connected components of these are the units of work. Components
-above ``block`` sets are cut into blocks, and each pair of blocks is a unit, so no group ever meets in one task, and
-nothing is capped.
+Sets that share a part are candidate neighbours, and the connected components of these are the units of work. Sets that
+share a passage and nothing else can be chained to one large component, by parts that hold passage elements only. So the
+sets of a component above ``block`` sets are looked at again, by a prefix filter (`refined`): in the order of how many of
+them have an element, a set keeps as many of its rarest elements as a linked set must share one of. Elements that no other
+set has come first, and where they fill the prefix the set is linked with nothing. Sets that share a prefix element make
+finer components. Of one that is still large either the sets are cut into blocks, each pair of blocks being a unit, or each
+prefix element makes a unit of the sets that have it, and a pair counts in the unit of its first common element; whichever
+sends fewer sets. The second way grows in proportion to the sets, whatever chains them. So no group ever meets in one task,
+and nothing is capped.
 
 Within a unit the join skips by set relations. Index lists are kept in blocks of equal size and position. Of a set's lists
 only the blocks are read whose size and position leave enough elements for ``1 - 2 * (1 - t)`` of similarity: by the
@@ -49,6 +55,8 @@ MEAN = 2.5
 #: Candidate documents up to this number (16 bytes each) are broadcast to find their texts; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 SALT = np.uint64(0x5851F42D4C957F2D)
+#: Elements of sets that a task explodes at once.
+ELEMENTS = 1 << 20
 #: Elements that a telling part has at least, and how often a set is cut anew for enough of them.
 FILLED, CUTS = 2, 8
 
@@ -230,15 +238,22 @@ class Index:
                 yield y, hits(y, derived)
 
 
-def linked_sets(sets: list[np.ndarray], num: int, den: int, weights: np.ndarray, sides: np.ndarray) -> tuple[Forest, np.ndarray]:
-    """The forest of the links among sets, and each set's links to sets of another side, each counted by its weight."""
+def linked_sets(sets: list[np.ndarray], num: int, den: int, weights: np.ndarray, sides: np.ndarray, prefixes: list | None = None, bucket: int = 0) -> tuple[Forest, np.ndarray]:
+    """The forest of the links among sets, and each set's links to sets of another side, each counted by its weight.
+
+    With prefixes, a link counts only where bucket is the first element that both prefixes have.
+    """
     index, forest, n_links = Index(sets, num, den), Forest(len(sets)), np.zeros(len(sets), dtype=np.int64)
     for k, near in index.answers():
         me, others = int(index.order[k]), index.order[near]
         others = others[others != me]
         for other in others.tolist():
             forest.join(me, other)
-        n_links[me] = weights[others[sides[others] != sides[me]]].sum()
+        others = others[sides[others] != sides[me]]
+        if prefixes is not None:
+            first = [prefixes[me][np.isin(prefixes[me], prefixes[other]).argmax()] for other in others.tolist()]
+            others = others[np.array(first, dtype=np.int64) == bucket]
+        n_links[me] = weights[others].sum()
     return forest, n_links
 
 
@@ -258,18 +273,73 @@ def units(base: DataFrame, block: int) -> DataFrame:
     return written(members.join(first, "node").select("node", "unit", "blocks", "shown.doc_id", "shown.th", "copies"))
 
 
-def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
-    """Rows (u, v, links): star edges between the nodes of linked sets, or of one node u its links in one unit."""
+def elements_of(sets: DataFrame) -> DataFrame:
+    """Per element of each set: node, size, h, which tells the element and the unit."""
+
+    def run(batches):
+        for batch in batches:
+            flat, units, nodes = [], batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows = [np.frombuffer(b, dtype=np.uint64) for b in batch.column(2).to_pylist()]
+            salts, held, low = mix64(units.view(np.uint64)), 0, 0
+            for k, row in enumerate(rows):
+                flat.append(mix64(row ^ salts[k]))
+                held += len(row)
+                if held > ELEMENTS or k == len(rows) - 1:
+                    sizes = np.array([len(r) for r in rows[low : k + 1]])
+                    columns = [np.repeat(nodes[low : k + 1], sizes), np.repeat(sizes, sizes), np.concatenate(flat).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "size", "h"])
+                    flat, held, low = [], 0, k + 1
+
+    return sets.select("unit", "node", "elements").mapInArrow(run, "node bigint, size bigint, h bigint")
+
+
+def refined(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Of the sets (unit, node, elements) of large units: node, unit, bucket, blocks, prefix; sets without candidates are left out.
+
+    bucket is 0 and prefix null in the units of a component. In those of a prefix element, bucket is that element and
+    prefix has the set's prefix in the common order.
+    """
+    rows = written(elements_of(sets))
+    counts = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = maybe_in(rows, F.col("h"), key_filter(counts.select("h"))).where("__maybe").drop("__maybe")
+    by_set = spread_join(shared, counts, "h").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("x"))
+    # a linked set shares num / den of the elements or more, so one of so many; the elements of no other set come first
+    left = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - (F.col("size") - F.size("x"))
+    cut = by_set.withColumn("left", left.cast("int")).where("left > 0")
+    prefixes = written(cut.select("node", F.transform(F.slice("x", F.lit(1), F.col("left")), lambda e: e["h"]).alias("prefix")))
+    entries = prefixes.select("node", F.explode("prefix").alias("h"))
+    hubs = written(entries.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"))
+    entries = written(spread_join(entries, hubs, "h"))
+    stars = components(entries.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
+    members = stars.select(F.col("u").alias("node"), F.col("v").alias("unit")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("unit")).distinct())
+    # how many sets either way sends: each to all blocks, or to the units of its elements
+    sent = entries.groupBy("node").agg(F.sum(F.ceil(F.col("n") / block)).alias("sent"))
+    members = written(members.join(sent, "node"))
+    sizes = members.groupBy("unit").agg(F.count("*").alias("n"), F.sum("sent").alias("sent"))
+    blocks = F.ceil(F.col("n") / block)
+    sizes = written(sizes.select("unit", "n", blocks.cast("int").alias("blocks"), (F.col("n") * blocks > F.col("sent")).alias("apart")))
+    members = written(spread_join(members.select("node", "unit"), sizes, "unit").select("node", "unit", "blocks", "apart"))
+    whole = members.where("not apart").select("node", "unit", F.lit(0).cast("bigint").alias("bucket"), "blocks", F.lit(None).cast("array<bigint>").alias("prefix"))
+    alone = entries.join(members.where("apart").select("node"), "node").join(prefixes, "node")
+    return whole.unionByName(alone.select("node", F.col("h").alias("unit"), F.col("h").alias("bucket"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), "prefix"))
+
+
+def unit_sets(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """The sets with candidates, once for each of their units: unit, bucket, blocks, prefix, node, copies, elements."""
     chosen = units(base, block)
-    small = chosen.count() <= BROADCAST_ROWS
+    n, most = chosen.agg(F.count("*"), F.max("blocks")).first()
+    small = n <= BROADCAST_ROWS
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     if not small:
         texts = maybe_in(texts, F.xxhash64("doc_id", "th"), key_filter(chosen.select(F.xxhash64("doc_id", "th").alias("h")))).where("__maybe").drop("__maybe")
+        texts = texts.dropDuplicates(["doc_id", "th"])  # repeats of a row are dropped before the shuffle
     hits = texts.join(F.broadcast(chosen) if small else chosen, same(texts, chosen, ["doc_id", "th"]))
 
     def values(batches):
-        hasher = WordHasher()
+        hasher, seen = WordHasher(), set()
         for batch in batches:
+            batch = batch[~batch["node"].duplicated() & ~batch["node"].isin(seen)]
+            seen.update(batch["node"])
             texts = batch["text"].map(lambda t: (t or "").encode("utf-8", "surrogatepass")).tolist()
             sets = list(sets_of(texts, hasher, width))
             nodes = [int(mix64(mix64(v).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(v))).view(np.int64)[0]) for v in sets]
@@ -277,9 +347,20 @@ def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, bloc
             yield out[[a == b for a, b in zip(nodes, batch["node"], strict=True)]]
 
     sets = hits.select("unit", "blocks", "node", "copies", "text").mapInPandas(values, "unit bigint, blocks int, node bigint, copies bigint, elements binary")
+    sets, whole = sets.dropDuplicates(["node"]), {"bucket": F.lit(0).cast("bigint"), "prefix": F.lit(None).cast("array<bigint>")}
+    if not most or most == 1:
+        return sets.withColumns(whole)
+    sets = written(sets)
+    again = refined(sets.where("blocks > 1"), num, den, block)
+    return sets.where("blocks = 1").withColumns(whole).unionByName(sets.where("blocks > 1").drop("unit", "blocks").join(again, "node"))
+
+
+def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
+    """Rows (u, v, links): star edges between the nodes of linked sets, or of one node u its links in one unit."""
+    sets = unit_sets(docs, base, width, num, den, block)
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    cut = sets.dropDuplicates(["node"]).withColumn("own", own).withColumn("pair", F.explode(pairs)).select("unit", "pair.i", "pair.j", "own", "node", "copies", "elements")
+    cut = sets.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("unit", "bucket", "pair.i", "pair.j", "own", "node", "copies", "elements", "prefix")
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         nodes = group["node"].to_numpy()
@@ -287,12 +368,14 @@ def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, bloc
             return pd.DataFrame({"u": [], "v": [], "links": []}, dtype="int64")
         # between two blocks, only the links across count; within one, all
         sides = group["own"].to_numpy() if group["i"].iat[0] != group["j"].iat[0] else np.arange(len(nodes))
-        forest, n_links = linked_sets([np.frombuffer(b, dtype=np.uint64) for b in group["elements"]], num, den, group["copies"].to_numpy(), sides)
+        sets = [np.frombuffer(b, dtype=np.uint64) for b in group["elements"]]
+        prefixes = list(group["prefix"]) if group["bucket"].iat[0] else None
+        forest, n_links = linked_sets(sets, num, den, group["copies"].to_numpy(), sides, prefixes, group["bucket"].iat[0])
         roots = np.array([forest.root(k) for k in range(len(nodes))])
         some = (roots != np.arange(len(nodes))) | (n_links > 0)
         return pd.DataFrame({"u": nodes[some], "v": nodes[roots[some]], "links": n_links[some]})
 
-    return cut.groupBy("unit", "i", "j").applyInPandas(join, "u bigint, v bigint, links bigint")
+    return cut.groupBy("unit", "bucket", "i", "j").applyInPandas(join, "u bigint, v bigint, links bigint")
 
 
 def classes(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:

@@ -240,6 +240,43 @@ def test_linked_sets_share_a_part(num):
             assert emitted[0] & emitted[1]
 
 
+def largest_unit(spark, n, own, shared, width, num, block=1024):
+    r = random.Random(n + num)
+    line = " ".join(f"s{r.randrange(10**9)}" for _ in range(shared + width - 1))
+    rows = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(own)) + " " + line) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    base = common.written(setjoin.summaries(docs, width, num, 100))
+    sets = setjoin.unit_sets(docs, base, width, num, 100, block)
+    return sets.groupBy("unit", "bucket").count().agg(F.max("count")).first()[0] or 0
+
+
+@pytest.mark.parametrize(("width", "num", "own", "shared"), [(5, 80, 45, 15), (3, 90, 45, 15), (5, 80, 120, 30)])
+def test_a_shared_passage_makes_no_large_unit(spark, width, num, own, shared):
+    sizes = [largest_unit(spark, n, own, shared, width, num) for n in (2000, 8000)]
+    print(width, num, own, shared, sizes)
+    assert max(sizes) <= 1024
+
+
+def test_chained_passages_with_near_copies(spark):
+    """Each text shares a passage with the next, so candidates are one chain; the units are then those of rare elements."""
+    r = random.Random(1)
+    word = lambda: f"w{r.randrange(10**6)}"
+    pool = [" ".join(word() for _ in range(100)) for _ in range(160)]
+    texts = [f"{pool[i]} {pool[(i + 1) % 160]}" for i in range(160)]
+    for base in texts[:6]:
+        for _ in range(5):
+            words = base.split()
+            words[r.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts + texts[:3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    base = common.written(setjoin.summaries(docs, 5, 80, 100))
+    ways = {x.way: x["count"] for x in setjoin.unit_sets(docs, base, 5, 80, 100, 2).groupBy((F.col("bucket") != 0).alias("way")).count().collect()}
+    assert ways[True] > 100
+    found = {x.doc_id: (x.doc_id, x.n_shingles, x.component_id, x.n_links) for x in setjoin.classes(docs, 5, 80, 100, 2).collect()}
+    assert [found[i] for i, _ in rows] == sorted(plain_components(rows, 5, 80))
+
+
 def test_links_within_a_unit_equal_brute_force():
     r = random.Random(3)
     for num in (70, 80, 90):
