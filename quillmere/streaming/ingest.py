@@ -22,11 +22,11 @@ if TYPE_CHECKING:
 PAGES = "file_name string, page_num int, text string"
 
 
-def page_chunks(pages: DataFrame, semantic: bool = True, c: Config = Config(), tokens=word_sizes, model: Embedder | None = None) -> DataFrame:
-    """Chunks of pages with ids `{file}_p{page}_c{index}`."""
+def page_chunks(pages: DataFrame, semantic: bool = True, c: Config = Config(), tokens=word_sizes, model: Embedder | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of pages with ids `{file}_p{page}_c{index}`, and the columns to keep of their pages."""
     out = chunks(pages.withColumn("text", clean(F.col("text"))), semantic, c.chunking, tokens, model)
     name = F.concat("file_name", F.lit("_p"), F.col("page_num").cast("string"), F.lit("_c"), F.col("chunk_index").cast("string"))
-    return out.select(name.alias("id"), "content", "file_name", "page_num", F.create_map().cast("map<string,string>").alias("metadata"))
+    return out.select(name.alias("id"), "content", "file_name", "page_num", F.create_map().cast("map<string,string>").alias("metadata"), *keep)
 
 
 def ingest(store: Store, pages: DataFrame, model: Embedder | None = None, semantic: bool = True, c: Config = Config(), tokens=word_sizes) -> None:
