@@ -84,20 +84,20 @@ HOT = 1000
 BROADCAST_KEYS = 50_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Joins rows with a table of one row a key and n, the key's number of rows, so that no task gets a hot key's rows.
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", count: str = "n") -> DataFrame:
+    """Joins rows with a table of one row a key and n (or count), the key's number of rows, so that no task gets a hot key's rows.
 
     A table of at most BROADCAST_KEYS rows is broadcast, and rows stay where they are. Of a larger one the fewer than HOT
     hot keys are broadcast; the others, of at most one row in HOT each, are joined by a shuffle. Both frames are read
     twice, so they should be written ones.
     """
-    keys, total = table.agg(F.count("*"), F.sum("n")).first()
+    keys, total = table.agg(F.count("*"), F.sum(count)).first()
     if keys <= BROADCAST_KEYS:
         return rows.join(F.broadcast(table), key, how)
     bar = total / HOT
-    hot = table.where(F.col("n") > bar).withColumn("__hot", F.lit(True))
+    hot = table.where(F.col(count) > bar).withColumn("__hot", F.lit(True))
     found = rows.join(F.broadcast(hot), key, "left")
-    rest = found.where("__hot is null").select(*rows.columns).join(table.where(F.col("n") <= bar), key, how)
+    rest = found.where("__hot is null").select(*rows.columns).join(table.where(F.col(count) <= bar), key, how)
     return found.where("__hot").drop("__hot").unionByName(rest)
 
 

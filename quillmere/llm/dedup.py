@@ -109,8 +109,8 @@ def row_hash() -> Column:
 def candidates(docs: DataFrame, members: DataFrame) -> DataFrame:
     """The texts of members, one row for each doc_id and text; other texts are dropped before the shuffle."""
     texts = maybe_in(docs.select("doc_id", "text", F.sha2(raw_text(), 256).alias("text_sha256")), row_hash(), key_filter(members.select(row_hash().alias("h"))))
-    texts = texts.where("__maybe").drop("__maybe")
-    return members.join(texts, same(members, texts, ["doc_id", "text_sha256"])).select(members["*"], texts["text"]).dropDuplicates(["g", "doc_id", "text_sha256"])
+    texts = texts.where("__maybe").drop("__maybe").dropDuplicates(["doc_id", "text_sha256"])  # first within each task
+    return members.join(texts, same(members, texts, ["doc_id", "text_sha256"])).select(members["*"], texts["text"])
 
 
 def differing(docs: DataFrame, members: DataFrame, chunk_bytes: int, salt_rows: int) -> DataFrame:
@@ -170,11 +170,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     are shuffled.
     """
     classes = written(exact_classes(docs.select("doc_id", "text"), **options).where("group_size > 1").select("doc_id", "text_sha256", "kept"))
-    known = classes.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"))
-    known = written(known.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha256"), F.col("kept").alias("__kept")))
-    made = key_filter(known.select(F.xxhash64("__id", "__sha256").alias("h")))
-    rows = maybe_in(docs.withColumn("__sha", F.sha2(raw_text(), 256)), F.xxhash64("doc_id", "__sha"), made)
-    some = rows.where("__maybe")
-    some = some.join(known, some["doc_id"].eqNullSafe(known["__id"]) & (some["__sha"] == known["__sha256"]), "left")
+    known = classes.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    # by the hash of a row; rows of different ids and texts whose hashes are equal stand in one list
+    entry = F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    known = written(known.groupBy(row_hash().alias("__h")).agg(F.collect_list(entry).alias("__known"), F.sum("n").alias("__n")))
+    named = docs.withColumn("__sha", F.sha2(raw_text(), 256)).withColumn("__h", F.xxhash64("doc_id", "__sha"))
+    rows = maybe_in(named, F.col("__h"), key_filter(known.select(F.col("__h").alias("h"))))
+    some = spread_join(rows.where("__maybe"), known, "__h", "left", count="__n")
+    mine = F.filter("__known", lambda k: k["id"].eqNullSafe(F.col("doc_id")) & (k["sha"] == F.col("__sha")))
+    some = some.withColumn("__kept", F.get(mine, F.lit(0))["kept"])
     copies = some.where("__kept").dropDuplicates(["doc_id", "__sha"])
     return rows.where("not __maybe").select(*docs.columns).unionByName(some.where("__kept is null").select(*docs.columns)).unionByName(copies.select(*docs.columns))

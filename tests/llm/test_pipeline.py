@@ -98,3 +98,18 @@ def test_near_copies_of_five_words_at_four_fifths(spark):
     for block in (8, 1000):
         names = setjoin.classes(docs, 5, 80, 100, block).select("component_id").distinct().collect()
         assert sorted(x.component_id for x in names) == expected
+
+
+def test_near_copies_with_null_ids_and_repeats(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**9)}" for _ in range(100)]
+    near = lambda k: " ".join([*base[:k], "x", *base[k + 1 :]])
+    other = " ".join(f"v{r.randrange(10**9)}" for _ in range(50))
+    rows = [(None, near(3)), (None, near(90)), (5, near(50)), (6, near(60)), (None, other), (None, other), (7, None), (None, None), (8, ""), (7, near(20)), (None, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = P.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    kept = Counter((x.doc_id, x.text) for x in out.collect())
+    assert kept == Counter([(5, near(50)), (None, other), (None, other), (7, None), (None, None), (8, ""), (None, "alone")])
+    only = docs.where("doc_id is null and text like '%x%'")
+    assert P.drop_near_copies(spark, only, SF).count() == 1
