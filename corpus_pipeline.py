@@ -2,8 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; the last returns the piece ids of each row of the mix.
-Each stage handles nulls, empty and repeated rows as its operator states. Rows with one doc_id are one document for the
-near-duplicate stage: they stay if any of them does.
+Each stage handles nulls, empty and very long texts, ties, repeated rows, empty tables and further columns as its operator
+states. For the near-duplicate stage a document is a doc_id with its text: repeats of one row stay or go together, and of
+linked documents the one with the smallest doc_id stays, a null one being the largest; of equal ids, the smallest hash of
+the text. An empty table stays empty in all stages.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from quillmere.llm.common import lasting, scratch, written
 if TYPE_CHECKING:
     from pyspark.sql import DataFrame, SparkSession
 
-#: Up to this many dropped ids (8 bytes each) are broadcast; beyond, the anti-join shuffles.
+#: Up to this many dropped documents (16 bytes each) are broadcast; beyond, the anti-join shuffles.
 BROADCAST_IDS = 500_000
 #: Near copies share 80 of 100 of their five-word shingles or more; op3's own query has other defaults.
 WIDTH, NUM, DEN = 5, 80, 100
@@ -37,11 +39,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles (a Jaccard similarity of 0.8 or more), the one with the smallest doc_id stays."""
-    classes = setjoin.classes(docs.select("doc_id", "text"), width=WIDTH, num=NUM, den=DEN)
-    away = classes.groupBy("doc_id").agg(F.bool_and(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("away"))
-    away = written(away.where("away").select("doc_id"))
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    classes = setjoin.classes(docs.select(key.alias("doc_id"), "text"), width=WIDTH, num=NUM, den=DEN)
+    away = written(classes.where("doc_id <> component_id").select("doc_id.id", "doc_id.th").distinct())
     small = away.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(away) if small else away, "doc_id", "left_anti").select(*docs.columns)
+    gone = docs["doc_id"].eqNullSafe(away["id"]) & (F.xxhash64(docs["text"]) == away["th"])
+    return docs.join(F.broadcast(away) if small else away, gone, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
