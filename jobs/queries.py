@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
 from quillmere.plans.fragments import tok
 from quillmere.plans.text_queries import chunk_sql
+from quillmere.session import new_folder
 
 from . import ingest_documents, keyword_index
 
@@ -17,14 +16,6 @@ if TYPE_CHECKING:
     from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, job: str) -> str:
-    """A new folder in the shared one, which only a local session may leave unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='quillmere-')).rstrip('/')}/{job}-{uuid.uuid4().hex}"
-
-
 def job1_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks, their vectors spelt as numbers with commas."""
     folder = new_folder(spark, "job1")

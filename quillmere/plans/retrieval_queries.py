@@ -10,10 +10,11 @@ from ..functions.text import wants_image
 from ..functions.vectors import cosine
 from ..operators import images as I
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from ..operators.prompts import search_report as report
 from ..operators.store import collection_counts as counts_of
 from ..operators.store import new_rows
-from ..session import table
+from ..session import new_folder, table
 from .fragments import IMAGES_SQL, TEXTS_SQL, asked, gated_sql, hybrid_sql, images, texts
 
 if TYPE_CHECKING:
@@ -45,6 +46,28 @@ def knn_ip(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d, "ip")
 
 
+def _indexed(spark: SparkSession, d: str, metric: str, exact: bool) -> DataFrame:
+    """The same searches by an inverted-file index, which is built anew."""
+    index = V.build(vectors(spark, d), new_folder(spark, "index"), metric)
+    return V.search(index, vector_queries(spark, d), 10, exact=exact).select("query_id", "id", "distance", F.col("rank").cast("long"))
+
+
+def ann_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, "cosine", False)
+
+
+def ann_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, "l2", False)
+
+
+def index_knn_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, "cosine", True)
+
+
+def index_knn_l2(spark: SparkSession, d: str) -> DataFrame:
+    return _indexed(spark, d, "l2", True)
+
+
 def image_knn(spark: SparkSession, d: str) -> DataFrame:
     return R.knn(asked(spark, d), images(spark, d), 5).select("query_id", "id", "distance", F.col("rank").cast("long"))
 
@@ -138,7 +161,7 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (knn_cosine, knn_l2, knn_ip, image_knn, cosine_pairs, bm25_candidates, minmax_semantic, hybrid_rerank, hybrid_search, image_score_gate, search_report, query_intent,
+    for f in (knn_cosine, knn_l2, knn_ip, ann_cosine, ann_l2, index_knn_cosine, index_knn_l2, image_knn, cosine_pairs, bm25_candidates, minmax_semantic, hybrid_rerank, hybrid_search, image_score_gate, search_report, query_intent,
               image_bounds_filter, image_keep_filter, image_dedup, image_row_ids, image_path, insert_ignore, collection_counts)
 }
 
@@ -162,6 +185,8 @@ SELECT query_id, rank, '[' || rank || '] Score: ' || {POINTS("score")} || ' (Sem
 FROM hyb WHERE rank <= 10""",
     "knn_cosine": knn_sql("1 - list_cosine_similarity(a.v, b.v)"),
     "knn_l2": knn_sql("list_distance(a.v, b.v) * list_distance(a.v, b.v)"),
+    "index_knn_cosine": knn_sql("1 - list_cosine_similarity(a.v, b.v)"),
+    "index_knn_l2": knn_sql("list_distance(a.v, b.v) * list_distance(a.v, b.v)"),
     "knn_ip": knn_sql("1 - list_inner_product(a.v, b.v)"),
     "image_knn": f"WITH {hybrid_sql(IMAGES_SQL)} SELECT query_id, id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dist) WHERE rank <= 5",
     "cosine_pairs": "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

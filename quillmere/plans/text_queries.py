@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.chunking import chunks, overlaps
+from ..operators.subwords import ranks_of
+from ..operators.subwords import token_counts as token_counts_of
 from ..providers import image_description_fallback as fallback
 from ..providers import DESCRIBE, description_prompt, neighbour_similarity
 from ..session import table
@@ -41,6 +43,14 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.word_tokens(F.col("text")).cast("long").alias("n_tokens"))
 
 
+#: The vocabulary whose tokens are counted; Spark reads it on the driver's behalf.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def bpe_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts_of(docs(spark, d), ranks_of(spark, VOCABULARY))
+
+
 def bm25_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokens = T.keyword_tokens(F.col("text"))
     return docs(spark, d).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ")).alias("tokens_md5"))
@@ -153,7 +163,7 @@ u AS (SELECT doc_id, p, sents, unnest(range(0, len(r))) AS chunk_index, unnest(r
 
 QUERIES = {
     f.__name__: f
-    for f in (clean_text, sentences, token_counts, bm25_tokens, adjacent_similarity, semantic_chunks, token_chunks, chunk_overlap, truncate_chunks, excerpts, page_contexts,
+    for f in (clean_text, sentences, token_counts, bpe_token_counts, bm25_tokens, adjacent_similarity, semantic_chunks, token_chunks, chunk_overlap, truncate_chunks, excerpts, page_contexts,
               image_description_fallback, strip_markdown, format_markdown_list, relative_age, relevance_pct, conversation_pairs, ingest_counts, shown_names, context_for_images, blank_queries)
 }
 

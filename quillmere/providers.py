@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 from hashlib import md5
 from typing import Protocol
 
@@ -75,24 +74,6 @@ def embedding(text: Column, model: Embedder | None = None) -> Column:
     return run(text)
 
 
-@lru_cache(maxsize=1)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def subword_sizes(path: str):
-    """A token counter by a local vocabulary file in the JSON format of the tokenizers library: array<string> to array<int>."""
-
-    @F.pandas_udf("array<int>")
-    def run(batch: pd.Series) -> pd.Series:
-        t = tokenizer(path)
-        return pd.Series([None if row is None else [len(e.ids) for e in t.encode_batch(list(row), add_special_tokens=False)] for row in batch])
-
-    return run
-
-
 def running(sizes: Column) -> Column:
     """Of an array of sizes: 0, then the running sums."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import TYPE_CHECKING
 
 if TYPE_CHECKING:
@@ -27,3 +29,11 @@ def session(app: str = "quillmere", **settings: str) -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in that of spark.checkpoint.dir, which only a local session may leave unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='quillmere-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,7 +12,9 @@ from quillmere.operators import images as I
 from quillmere.operators import prompts as P
 from quillmere.operators import retrieval as R
 from quillmere.operators.store import Store, flattened, new_rows
-from quillmere.providers import described, embedding, running, subword_sizes
+from quillmere.operators.subwords import ranks_of, token_sizes
+from quillmere.plans.text_queries import VOCABULARY
+from quillmere.providers import described, embedding, running
 from quillmere.service import answers, engine, error_text, health, search, with_footer
 from quillmere.sources import files
 
@@ -272,7 +274,7 @@ def test_chunks_by_subwords_and_without_an_embedder(spark):
     docs = spark.createDataFrame([(1, " ".join(f"Internationalization number {i} is here." for i in range(300)))], "doc_id int, text string")
     by_tokens = C.chunks(docs, semantic=False).collect()
     assert C.chunks(docs, model=Broken()).collect() == by_tokens
-    counter = subword_sizes("/opt/tokenizers/word_bpe_49k.json")
+    counter = token_sizes(ranks_of(spark, VOCABULARY))
     small = C.chunks(docs, semantic=False, tokens=counter).collect()
     assert len(small) > len(by_tokens)
     assert all(r.n_tokens <= 512 for r in small)
