@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions.text import keyword_tokens
+from ..session import new_folder
 
 #: Queries up to this number are sent to every task; more are answered in blocks of about so many.
 QUERY_BLOCK = 4096
@@ -95,6 +96,16 @@ def knn(queries: DataFrame, collection: DataFrame, k: int, metric: str = "cosine
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def known(queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """Queries whose vectors are made once: up to block of them as a local table, more as a checkpoint."""
+    spark, few = queries.sparkSession, queries.limit(block + 1).collect()
+    if len(few) <= block:
+        return spark.createDataFrame(few, queries.schema)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(new_folder(spark, "queries"))
+    return queries.checkpoint()
+
+
 def bm25(candidates: DataFrame, query_column: str = "query", text_column: str = "content") -> DataFrame:
     """Of candidates (query_id, id, query, content): query_id, id, bm25, with the statistics of each query's candidates.
 

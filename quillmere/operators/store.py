@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from functools import reduce
 
@@ -62,17 +63,22 @@ class Store:
         joined = rows.withColumn("__row", F.lit(1)).join(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id", "full")
         columns = [joined[f.name].cast(f.dataType).alias(f.name) if f.name in joined.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
         # written once, so that no model runs again for the checks
-        staged = f"{self.folder}/_staged/{uuid.uuid4().hex}"
-        joined.select(*columns, "__row").write.parquet(staged)
-        made = self.spark.read.parquet(staged)
-        both = made.agg(F.count("__row").alias("rows"), F.count("embedding").alias("vectors"), F.count("*").alias("n")).first()
-        try:
+        with self.staged(joined.select(*columns, "__row")) as made:
+            both = made.agg(F.count("__row").alias("rows"), F.count("embedding").alias("vectors"), F.count("*").alias("n")).first()
             if both.rows and both.vectors and not both.rows == both.vectors == both.n:
                 raise ValueError("rows and embeddings differ in number or ids")
             if both.rows and both.vectors:
                 new_rows(made.drop("__row"), self.read(name)).write.mode("append").parquet(f"{self.folder}/{name}")
+
+    @contextlib.contextmanager
+    def staged(self, frame: DataFrame):
+        """A frame, written below the store's folder and read again, until the block ends; what made it runs once."""
+        path = f"{self.folder}/_staged/{uuid.uuid4().hex}"
+        try:
+            frame.write.parquet(path)
+            yield self.spark.read.schema(frame.schema).parquet(path)
         finally:
-            self._remove(staged)
+            self._remove(path)
 
     def _remove(self, path: str) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from .config import Config, load
 from .functions.text import is_blank
 from .operators.prompts import rag_prompts, source_rows, sources_footer
-from .operators.retrieval import gated, hybrid_search
+from .operators.retrieval import gated, hybrid_search, known
 from .operators.store import Store
 from .providers import Embedder, Generator, answered, embedding, generated
 from .sources.files import image_bytes
@@ -27,7 +27,7 @@ def valid_queries(queries: DataFrame) -> DataFrame:
 def search(store: Store, queries: DataFrame, include_images: bool = True, model: Embedder | None = None, c: Config = Config()) -> tuple[DataFrame, DataFrame | None]:
     """The text and the gated image results of each query, by the store's metric; the image branch is not planned where it is not wanted."""
     c = replace(c, retrieval=replace(c.retrieval, metric=store.metric))
-    asked = valid_queries(queries).withColumn("embedding", embedding(F.col("query"), model))
+    asked = known(valid_queries(queries).withColumn("embedding", embedding(F.col("query"), model)))
     texts = hybrid_search(asked, store.read("text_chunks"), c.retrieval.top_k_final, c.retrieval)
     if not include_images:
         return texts, None

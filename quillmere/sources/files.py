@@ -25,22 +25,30 @@ def pdf_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(basename(F.col("path")).alias("file_name"), "content")
 
 
-def fitz_pages(content: bytes) -> Iterable[str]:
-    """The text of each page, by the optional PDF library."""
+def fitz_count(content: bytes) -> int:
+    """The number of pages, by the optional PDF library."""
     import fitz
 
     with fitz.open(stream=content, filetype="pdf") as doc:
-        for page in doc:
+        return doc.page_count
+
+
+def fitz_pages(content: bytes, first: int = 1, last: int | None = None) -> Iterable[str]:
+    """The text of each page of a range, by the optional PDF library."""
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        for page in doc.pages(first - 1, last or doc.page_count):
             yield page.get_text()
 
 
-def fitz_images(content: bytes, dpi: int = 150) -> Iterable[tuple]:
+def fitz_images(content: bytes, first: int = 1, last: int | None = None, dpi: int = 150) -> Iterable[tuple]:
     """(page, image, xref, y0, y1, page height, width, height, colours, PNG) of each placed image; images that fail are left out."""
     import fitz
     from PIL import Image
 
     with fitz.open(stream=content, filetype="pdf") as doc:
-        for p, page in enumerate(doc, 1):
+        for p, page in enumerate(doc.pages(first - 1, last or doc.page_count), first):
             for n, found in enumerate(page.get_images(full=True), 1):
                 try:
                     box = page.get_image_bbox(found)
@@ -52,6 +60,33 @@ def fitz_images(content: bytes, dpi: int = 150) -> Iterable[tuple]:
                     continue
 
 
+def store_and_name(path: str):
+    """Arrow's file system of a path, and the path in it; a path without a scheme is one of the local disk."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def content_of(path: str) -> bytes:
+    """The bytes of a file, for a task that is given its path."""
+    at, name = store_and_name(path)
+    with at.open_input_stream(name) as source:
+        return source.read()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that Spark takes it from, so that tasks write where Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def pdf_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The paths of the PDF files of a folder, without those of its subfolders; no content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select("path")
+
+
 def pages(files: DataFrame, reader: Callable[[bytes], Iterable[str]] = fitz_pages) -> DataFrame:
     """One row per page, cleaned; pages without text stay."""
 
@@ -115,11 +150,9 @@ def saved_images(images: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        from pyarrow import fs
-
         for batch in batches:
             for path, content in zip(batch["image_path"], batch["content"], strict=True):
-                at, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                at, name = store_and_name(path)
                 at.create_dir(name.rsplit("/", 1)[0], recursive=True)
                 with at.open_output_stream(name) as out:
                     out.write(content)
