@@ -46,7 +46,7 @@ def judged(text: Column) -> Column:
     scores are derived from the counts.
     """
     value = parsed(text)
-    found = lambda name, pattern: F.nullif(F.regexp_extract(text, f'"{name}"\\s*:\\s*({pattern})', 1), F.lit(""))
+    found = lambda name, pattern: F.get(F.regexp_extract_all(text, F.lit(f'"{name}"\\s*:\\s*({pattern})'), F.lit(1)), F.lit(0))
     score = {s: found(s, r"[\d.]+").try_cast("double") for s in SCORES}
     count = {c: found(c, r"\d+").try_cast("int") for c in COUNTS}
     claims = ratio(count["supported_claims"], count["total_claims"])
