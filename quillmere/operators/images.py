@@ -23,6 +23,36 @@ def single_color(n_colors: Column, c: Images = Images()) -> Column:
     return F.coalesce((n_colors <= c.max_colors) & (n_colors <= c.color_threshold), F.lit(False))
 
 
+def color_counts(runs: DataFrame, keys: list[str], color: str = "color", c: Images = Images()) -> DataFrame:
+    """Of runs of pixels (keys of the image, color): the keys and n_colors, max_colors + 1 standing for more than max_colors.
+
+    Each task passes on a colour of an image when it meets it first, and stops at the bound; so what is shuffled is at most
+    max_colors + 1 colours for each image and task, whatever the number of pixels. A null colour is none.
+    """
+    most, fields = c.max_colors + 1, {f.name: f.dataType.simpleString() for f in runs.schema}
+
+    def first_met(batches):
+        seen, held = {}, 0
+        for batch in batches:
+            new = []
+            for at, (*image, pixel) in enumerate(zip(*(batch[k] for k in keys), batch[color], strict=True)):
+                colors = seen.setdefault(tuple(image), set())
+                if len(colors) < most and pixel not in colors:
+                    colors.add(pixel)
+                    new.append(at)
+            yield batch.iloc[new]
+            held += len(new)
+            if held > HELD:  # a colour that is then passed on again counts once all the same
+                seen, held = {}, 0
+
+    some = runs.select(*keys, color).where(F.col(color).isNotNull()).mapInPandas(first_met, ", ".join(f"`{k}` {fields[k]}" for k in [*keys, color]))
+    return some.groupBy(*keys).agg(F.least(F.countDistinct(color), F.lit(most)).alias("n_colors"))
+
+
+#: Colours that a task remembers at once.
+HELD = 1 << 20
+
+
 def kept(images: DataFrame, c: Images = Images()) -> DataFrame:
     """Cheap tests first, each a filter of its own."""
     inside = images.where(within_bounds(F.col("y0"), F.col("y1"), F.col("page_height"), c))

@@ -6,7 +6,7 @@ import contextlib
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,10 @@ SCHEMAS = {
 }
 
 
+def stored_schema(name: str) -> T.StructType:
+    return T.StructType([*SCHEMAS[name].fields, T.StructField("bucket", T.IntegerType())])
+
+
 def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows whose id is not stored yet; of equal new ids the first by the other columns that have an order."""
     others = [f.name for f in rows.schema if f.name != "id" and isinstance(f.dataType, T.AtomicType)]
@@ -27,16 +31,34 @@ def new_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(stored.select("id"), "id", "left_anti")
 
 
+#: Buckets of a new store: as many tasks write one collection at once.
+BUCKETS = 16
+
+
+def bucket_of(name: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
+
 class Store:
-    """Two collections under one folder; the metric is fixed when the store is made, and kept beside the data."""
+    """Two collections under one folder; metric and buckets are fixed when the store is made, and kept beside the data.
+
+    A collection is partitioned by a hash bucket of its ids. An addition reads the stored ids of the buckets that it touches,
+    and no others. Spark's committer shows the files of an addition when all are written; should it fail in between, the
+    same addition made again adds what is missing, as known ids are left as they are. One writer at a time: two that add the
+    same new id at the same moment would both store it.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, metric: str | None = None):
+    def __init__(self, spark: SparkSession, folder: str, metric: str | None = None, buckets: int | None = None):
         if metric not in (None, "cosine", "l2", "ip"):
             raise ValueError(f"unknown metric {metric}")
         self.spark, self.folder = spark, folder.rstrip("/")
+        kind = "metric string, buckets int"
         if not self._exists("settings"):
-            spark.createDataFrame([(metric or "cosine",)], "metric string").coalesce(1).write.parquet(f"{self.folder}/settings")
-        self.metric = spark.read.schema("metric string").parquet(f"{self.folder}/settings").first().metric
+            spark.createDataFrame([(metric or "cosine", buckets or BUCKETS)], kind).coalesce(1).write.parquet(f"{self.folder}/settings")
+        row = spark.read.schema(kind).parquet(f"{self.folder}/settings").first()
+        self.metric, self.buckets = row.metric, row.buckets
+        if buckets not in (None, self.buckets):
+            raise ValueError(f"the store was made with {self.buckets} buckets, not {buckets}")
         if metric not in (None, self.metric):
             raise ValueError(f"the store was made for {self.metric}, not {metric}")
         for name in SCHEMAS:
@@ -51,13 +73,16 @@ class Store:
     def _exists(self, name: str) -> bool:
         return self.exists(self.spark, self.folder, name)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A collection, or the rows of some of its buckets."""
+        rows = self.spark.read.schema(stored_schema(name)).parquet(f"{self.folder}/{name}")
+        return (rows if buckets is None else rows.where(F.col("bucket").isin(buckets))).drop("bucket")
 
     def clear(self, *names: str) -> None:
         """Empties these collections, or all."""
         for name in names or SCHEMAS:
-            self.spark.createDataFrame([], SCHEMAS[name]).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+            empty = self.spark.createDataFrame([], stored_schema(name)).write.mode("overwrite").option("partitionOverwriteMode", "static")
+            empty.partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     def _add(self, name: str, rows: DataFrame, vectors: DataFrame) -> None:
         joined = rows.withColumn("__row", F.lit(1)).join(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id", "full")
@@ -68,7 +93,9 @@ class Store:
             if both.rows and both.vectors and not both.rows == both.vectors == both.n:
                 raise ValueError("rows and embeddings differ in number or ids")
             if both.rows and both.vectors:
-                new_rows(made.drop("__row"), self.read(name)).write.mode("append").parquet(f"{self.folder}/{name}")
+                placed = made.drop("__row").withColumn("bucket", bucket_of(F.col("id"), self.buckets))
+                touched = [r.bucket for r in placed.select("bucket").distinct().collect()]
+                new_rows(placed, self.read(name, touched)).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     @contextlib.contextmanager
     def staged(self, frame: DataFrame):
@@ -111,7 +138,7 @@ def collection_counts(collections: dict[str, DataFrame]) -> DataFrame:
 def flattened(fixed: dict, metadata):
     """The fixed fields as strings, overridden by metadata of the same name."""
     given = F.coalesce(metadata, F.create_map().cast("map<string,string>"))
-    own = F.create_map(*(x for k, v in fixed.items() for x in (F.lit(k), v.cast("string"))))
+    own = F.create_map(*(x for k, v in fixed.items() for x in (F.lit(k), v.cast("string")))).cast("map<string,string>")
     return F.map_concat(F.map_filter(own, lambda k, v: ~F.map_contains_key(given, k)), given)
 
 

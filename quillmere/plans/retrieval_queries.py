@@ -138,6 +138,12 @@ def image_keep_filter(spark: SparkSession, d: str) -> DataFrame:
     return I.kept(placements(spark, d)).select(*KEY)
 
 
+def image_colors(spark: SparkSession, d: str) -> DataFrame:
+    """Line items stand in for runs of pixels: their part is the colour, and their supplier tells the image."""
+    runs = table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("image"), (F.col("l_partkey") * 7 + F.col("l_linenumber") % 3).alias("color"))
+    return I.color_counts(runs, ["image"]).select("image", F.col("n_colors").cast("long").alias("n_colors"))
+
+
 def image_dedup(spark: SparkSession, d: str) -> DataFrame:
     return I.first_per_file(I.kept(placements(spark, d))).select(*KEY)
 
@@ -162,7 +168,7 @@ def collection_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (knn_cosine, knn_l2, knn_ip, ann_cosine, ann_l2, index_knn_cosine, index_knn_l2, image_knn, cosine_pairs, bm25_candidates, minmax_semantic, hybrid_rerank, hybrid_search, image_score_gate, search_report, query_intent,
-              image_bounds_filter, image_keep_filter, image_dedup, image_row_ids, image_path, insert_ignore, collection_counts)
+              image_bounds_filter, image_keep_filter, image_colors, image_dedup, image_row_ids, image_path, insert_ignore, collection_counts)
 }
 
 
@@ -198,6 +204,7 @@ FROM hyb WHERE rank <= 10""",
     "query_intent": """SELECT item_id, regexp_matches(lower(text || CASE WHEN item_id % 3 = 0 THEN ' See the Figure.' ELSE '' END), 'figure|diagram|image|screenshot|shown|picture') AS wants_image FROM benchmark""",
     "image_bounds_filter": f"WITH {PLACED} SELECT file_name, page_num, img_num, xref FROM b",
     "image_keep_filter": f"WITH {PLACED} SELECT file_name, page_num, img_num, xref FROM k",
+    "image_colors": "SELECT l_suppkey % 40 AS image, least(count(DISTINCT l_partkey * 7 + l_linenumber % 3), 1025) AS n_colors FROM lineitem GROUP BY 1",
     "image_dedup": f"WITH {PLACED} SELECT file_name, page_num, img_num, xref FROM k QUALIFY row_number() OVER (PARTITION BY file_name, xref ORDER BY page_num, img_num) = 1",
     "image_row_ids": f"WITH {PLACED} SELECT file_name, page_num, img_num, xref, file_name || '_p' || page_num || '_i' || img_num AS id FROM p",
     "image_path": rf"WITH {PLACED} SELECT file_name, page_num, img_num, xref, 'images/' || regexp_replace(file_name, '[^a-zA-Z0-9_\-.]', '_', 'g') || '_p' || page_num || '_i' || img_num || '.png' AS image_path FROM p",
