@@ -13,10 +13,10 @@ to MEAN elements a part at the top of an interval.
 
 Sets that share a part are candidate neighbours, and the connected components of these are the units of work. Sets that
 share a passage and nothing else can be chained to one large component, by parts that hold passage elements only. So the
-sets of a component above ``block`` sets are looked at again, by a prefix filter (`refined`): in the order of how many of
+sets of a component above ``WHOLE`` blocks of ``block`` sets are looked at again, by a prefix filter (`refined`): in the order of how many of
 them have an element, a set keeps as many of its rarest elements as a linked set must share one of. Elements that no other
 set has come first, and where they fill the prefix the set is linked with nothing. Sets that share a prefix element make
-finer components. Of one that is still large either the sets are cut into blocks, each pair of blocks being a unit, or each
+finer components. Of each either the sets are cut into blocks, each pair of blocks being a unit, as in smaller components, or each
 prefix element makes a unit of the sets that have it, and a pair counts in the unit of its first common element; whichever
 sends fewer sets. The second way grows in proportion to the sets, whatever chains them. So no group ever meets in one task,
 and nothing is capped.
@@ -55,6 +55,8 @@ MEAN = 2.5
 #: Candidate documents up to this number (16 bytes each) are broadcast to find their texts; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 SALT = np.uint64(0x5851F42D4C957F2D)
+#: Blocks of a component whose pairs are compared without a further look: 10 pairs at most.
+WHOLE = 4
 #: Elements of sets that a task explodes at once.
 ELEMENTS = 1 << 20
 #: Elements that a telling part has at least, and how often a set is cut anew for enough of them.
@@ -348,11 +350,12 @@ def unit_sets(docs: DataFrame, base: DataFrame, width: int, num: int, den: int,
 
     sets = hits.select("unit", "blocks", "node", "copies", "text").mapInPandas(values, "unit bigint, blocks int, node bigint, copies bigint, elements binary")
     sets, whole = sets.dropDuplicates(["node"]), {"bucket": F.lit(0).cast("bigint"), "prefix": F.lit(None).cast("array<bigint>")}
-    if not most or most == 1:
+    if not most or most <= WHOLE:
         return sets.withColumns(whole)
     sets = written(sets)
-    again = refined(sets.where("blocks > 1"), num, den, block)
-    return sets.where("blocks = 1").withColumns(whole).unionByName(sets.where("blocks > 1").drop("unit", "blocks").join(again, "node"))
+    small, large = F.col("blocks") <= WHOLE, F.col("blocks") > WHOLE
+    again = refined(sets.where(large), num, den, block)
+    return sets.where(small).withColumns(whole).unionByName(sets.where(large).drop("unit", "blocks").join(again, "node"))
 
 
 def links(docs: DataFrame, base: DataFrame, width: int, num: int, den: int, block: int) -> DataFrame:
