@@ -3,8 +3,9 @@
 A rule is `host/path`: it fits its host and all subdomains when the URL's path starts with its path; the longest fitting
 rule decides. URLs that no rule fits are judged by boosted trees on length, depth, digit ratio, entropy, parameter counts
 and the statistics of host suffixes. The trees learn from the distinct URLs that a rule labels: the first ``SAMPLE`` by
-the hash of the URL, whatever their label, so the share of blocked ones is that of all at every size. They block from a
-score of 0.5.
+the hash of the URL, whatever their label, so the share of blocked ones is that of all at every size. The suffix statistics
+of a training row come from the rows of other folds, so none holds its own label; URLs to be judged get those of the whole
+sample. They block from a score of 0.5.
 
 Cases: a null URL, or one without `://`, has an empty host and path and fits no rule; without labelled URLs of both
 kinds the score is the smoothed share of blocked ones, and 0 if there are none; repeated rows are judged alike; a URL of
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import boosting
 
-SAMPLE = 20_000
+SAMPLE, FOLDS = 20_000, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -88,6 +89,15 @@ class Lexical:
         return np.array(out, dtype=float).reshape(len(out), 17)
 
 
+def out_of_fold(urls: list[str], labels: list[int], folds: int = FOLDS) -> np.ndarray:
+    """Training features: of each fold by the suffix statistics of the others."""
+    out = Lexical([], []).rows(urls)
+    for k in range(min(folds, len(urls)) if len(urls) > 1 else 0):
+        rest = [i for i in range(len(urls)) if i % folds != k]
+        out[k::folds] = Lexical([urls[i] for i in rest], [labels[i] for i in rest]).rows(urls[k::folds])
+    return out
+
+
 def labelled(pages: DataFrame, bound: int = SAMPLE) -> list[tuple[str, int]]:
     """The first URLs in the order of their hashes, at most bound, with the label that a rule gives them (1: block)."""
     label = rule_of(host_of(F.col("url")), path_of(F.col("url")))["verdict"]
@@ -100,7 +110,7 @@ def judged(pages: DataFrame, bound: int = SAMPLE) -> DataFrame:
     sample = labelled(pages, bound)
     urls, labels = [u for u, _ in sample], [y for _, y in sample]
     lexical = Lexical(urls, labels)
-    model = boosting.fit(lexical.rows(urls), np.array(labels, dtype=float))
+    model = boosting.fit(out_of_fold(urls, labels), np.array(labels, dtype=float))
     nothing = not sample
 
     @F.pandas_udf("double")

@@ -545,6 +545,71 @@ def test_url_trees_learn_held_out_urls():
     assert ((model.score(lexical.rows(rows[300:])) >= 0.5) == np.array(labels[300:])).mean() > 0.95
 
 
+def plain_rule(url):
+    """host, path, and the longest rule that fits, by the letter."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    at = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:at])
+    end = min([rest.index(c, at) for c in "?#" if c in rest[at:]], default=len(rest))
+    path = rest[at:end]
+    fits = [(r, v) for v, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return host, path, max(fits, key=lambda f: len(f[0]), default=None)
+
+
+def plain_scores_of_urls(model, rows):
+    """The trees, walked one row and one tree at a time."""
+    out = []
+    for row in rows:
+        total = model.prior
+        for features, thresholds, leaves in zip(model.features, model.thresholds, model.leaves):
+            at = 0
+            while at < len(features):
+                at = 2 * at + 1 + int(row[features[at]] > thresholds[at])
+            total += leaves[at - len(features)]
+        out.append(1 / (1 + math.exp(-min(30, max(-30, total)))))
+    return out
+
+
+def test_url_rules_rates_and_scores_equal_plain_ones(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    found = urls.judged(pages).collect()
+    sample = urls.labelled(pages)
+    known = {u: plain_rule(u) for u in {r.url for r in found}}
+    assert sorted(sample) == sorted((u, int(rule[1] == "block")) for u, (_, _, rule) in known.items() if rule)
+    names, labels = [u for u, _ in sample], [y for _, y in sample]
+    lexical, share = urls.Lexical(names, labels), (sum(labels) + 0.5) / (len(labels) + 1)
+    tails = {t for u in names for t in urls.suffixes(known[u][0])}
+    for t in tails:
+        own = [y for u, y in sample if t in urls.suffixes(known[u][0])]
+        assert lexical.rates[t] == pytest.approx((sum(own) + share) / (len(own) + 1))
+    features = urls.out_of_fold(names, labels)
+    for i in range(0, len(names), 7):
+        rest = [(u, y) for k, (u, y) in enumerate(sample) if k % urls.FOLDS != i % urls.FOLDS]
+        assert features[i].tolist() == urls.Lexical([u for u, _ in rest], [y for _, y in rest]).rows([names[i]])[0].tolist()
+    model = boosting.fit(features, np.array(labels, dtype=float))
+    expected = dict(zip(known, plain_scores_of_urls(model, lexical.rows(list(known)))))
+    for r in found:
+        host, path, rule = known[r.url]
+        assert (r.host, r.path, r.rule) == (host, path, rule and rule[0])
+        assert r.score == pytest.approx(expected[r.url])
+        assert r.verdict == (rule[1] if rule else "block" if r.score >= 0.5 else "allow")
+
+
+def test_url_trees_on_held_out_pages(spark):
+    """Of the URLs that rules label, half are held out: better than always blocking, and both verdicts are found."""
+    sample = urls.labelled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    names, labels = [u for u, _ in sample], np.array([y for _, y in sample])
+    fit, held = slice(0, None, 2), slice(1, None, 2)
+    model = boosting.fit(urls.out_of_fold(names[fit], labels[fit].tolist()), labels[fit].astype(float))
+    block = model.score(urls.Lexical(names[fit], labels[fit].tolist()).rows(names[held])) >= 0.5
+    y = labels[held] == 1
+    accuracy, always, allowed, blocked = (block == y).mean(), y.mean(), (~block & ~y).sum() / (~y).sum(), (block & y).sum() / y.sum()
+    print(f"{len(y)} held out: accuracy {accuracy:.3f}, always block {always:.3f}, allowed found {allowed:.3f}, blocked found {blocked:.3f}")
+    assert accuracy > always + 0.05 and allowed > 0.4 and blocked > 0.8
+
+
 # secrets
 
 
