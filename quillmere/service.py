@@ -36,7 +36,7 @@ def search(store: Store, queries: DataFrame, include_images: bool = True, model:
 
 
 def answers(store: Store, queries: DataFrame, include_images: bool = True, domain: str = "general", generator: Generator | None = None, model: Embedder | None = None, c: Config = Config(), image_folder: str | None = None) -> DataFrame:
-    """query_id, query, answer, sources, timestamp. Blank queries are left out.
+    """query_id, query, answer, error (null unless the model failed), sources, timestamp. Blank queries are left out.
 
     With image_folder, the files of the images found go to the model with the prompt.
     """
@@ -52,8 +52,8 @@ def answers(store: Store, queries: DataFrame, include_images: bool = True, domai
     rows = source_rows(texts, images, c.prompting)
     shown = F.struct("isImage", "position", "documentName", "pageNumber", "relevance", "excerpt", "fullText", "imagePath")
     listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(shown)).alias("sources"))
-    out = asked.join(replies.select("query_id", F.col("reply.text").alias("answer")), "query_id").join(listed, "query_id", "left")
-    return out.select("query_id", "query", "answer", F.coalesce("sources", F.array().cast(listed.schema["sources"].dataType)).alias("sources"), F.current_timestamp().alias("timestamp"))
+    out = asked.join(replies.select("query_id", F.col("reply.text").alias("answer"), F.col("reply.error").alias("error")), "query_id").join(listed, "query_id", "left")
+    return out.select("query_id", "query", "answer", "error", F.coalesce("sources", F.array().cast(listed.schema["sources"].dataType)).alias("sources"), F.current_timestamp().alias("timestamp"))
 
 
 def with_footer(answered: DataFrame, texts: DataFrame, images: DataFrame | None) -> DataFrame:
