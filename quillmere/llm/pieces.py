@@ -18,9 +18,9 @@ pieces of its UTF-8 bytes. A first space is put before each text, as the vocabul
 
 Cases: null and empty texts have no pieces, and decode to an empty text; U+2581 is encoded as a space, so a text that
 contains it decodes to one with spaces; repeated rows are encoded alike; a very long text is cut as any other; a
-segment that can't be cut is encoded whole whatever its length (up to 2 ** 35 characters can be coded), but the fold copies
-its state at each step, so its time grows as the square of its length (some 30 to 80 seconds for 32,000 characters); only
-the column text is read, and a column named ids is replaced; an empty table stays empty.
+segment that can't be cut is encoded whole whatever its length (up to 2 ** 31 characters, as long as an array of its edges
+fits in memory), by one task and in proportion to its length; only the column text is read, and a column named ids is
+replaced; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ STEP = 1 << 18
 #: Segments that one task takes, so that their lattices are grouped by hash in bounded memory.
 HASH_GROUPS = 16_384
 ODD = np.uint64(0x9E3779B97F4A7C17)
+#: Steps of a fold whose state is copied from step to step.
+FOLD = 512
 #: Characters of a segment from which substrings are taken at once.
 WINDOW = 4096
 
@@ -190,6 +192,63 @@ def hash_groups(spark: SparkSession, n: int):
         spark.conf.set(name, before)
 
 
+NODE = "array<struct<id:int,s:int>>"
+
+
+def best_paths(pairs: Column, longest: int) -> Column:
+    """The fold: of each place of a segment, from 0, the last piece of its best path (id, and s, where it starts).
+
+    A fold copies its state at each step, so a long segment is folded in runs of FOLD pairs: the state of a run begins with
+    the last `longest` places before it, which is as far as a piece reaches back, and what a run adds is put aside.
+    """
+    first = F.struct(F.lit(-1).alias("id"), F.lit(0).alias("s"))
+
+    def step(base: Column):
+        def grow(state: Column, x: Column) -> Column:
+            fits = (F.size(state) + base == x["e"]) & (F.get(state, x["s"] - base)["id"] == x["before"])
+            return F.when(fits, F.concat(state, F.array(F.struct(x["id"].alias("id"), x["s"].alias("s"))))).otherwise(state)
+
+        return grow
+
+    def run(state: Column, some: Column) -> Column:
+        def kept(grown: Column) -> Column:
+            more = F.slice(grown, F.size(state["tail"]) + 1, F.size(grown))
+            gone = F.greatest(F.size(grown) - (longest + 1), F.lit(0))
+            return F.struct((state["base"] + gone).alias("base"), F.slice(grown, gone + 1, F.size(grown)).alias("tail"), F.concat(state["runs"], F.array(more)).alias("runs"))
+
+        return let(F.aggregate(some, state["tail"], step(state["base"])), kept)
+
+    begin = F.struct(F.lit(0).alias("base"), F.array(first).cast(NODE).alias("tail"), F.array(F.array(first)).cast(f"array<{NODE}>").alias("runs"))
+    whole = F.aggregate(pairs, F.array(first), step(F.lit(0)))
+    return F.when(F.size(pairs) <= FOLD, whole).otherwise(F.flatten(F.aggregate(runs_of(pairs), begin, run)["runs"]))
+
+
+def runs_of(values: Column) -> Column:
+    """An array cut into arrays of FOLD."""
+    last = F.floor((F.size(values) - 1) / FOLD).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * FOLD + 1, F.lit(FOLD)))
+
+
+def walked_back(best: Column) -> Column:
+    """The ids of the whole segment's best path, by a fold from the last place to the first, in runs too."""
+    n = F.size(best) - 1
+
+    def walk(at: Column, j: Column) -> Column:
+        last = F.get(best, j)
+        return F.when(at["pos"] == j, F.struct(last["s"].alias("pos"), F.concat(at["ids"], F.array(last["id"])).alias("ids"))).otherwise(at)
+
+    def from_place(at: Column, places: Column) -> Column:
+        return F.aggregate(places, F.struct(at.alias("pos"), F.array().cast("array<int>").alias("ids")), walk)
+
+    def run(state: Column, places: Column) -> Column:
+        return let(from_place(state["pos"], places), lambda x: F.struct(x["pos"].alias("pos"), F.concat(state["runs"], F.array(x["ids"])).alias("runs")))
+
+    places = F.sequence(n, F.lit(1), F.lit(-1))
+    begin = F.struct(n.alias("pos"), F.array().cast("array<array<int>>").alias("runs"))
+    long = F.flatten(F.aggregate(runs_of(places), begin, run)["runs"])
+    return F.reverse(F.when(n <= FOLD, from_place(n, places)["ids"]).otherwise(long))
+
+
 class Encoder:
     """Encodes with one model; path names the model file on the driver."""
 
@@ -280,23 +339,8 @@ class Encoder:
             offsets = np.searchsorted(word[right], np.arange(len(edges) + 1)).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, fields=list(kind)))
 
-        def step(state: Column, x: Column) -> Column:
-            fits = (F.size(state) == x["e"]) & (F.get(state, x["s"])["id"] == x["before"])
-            return F.when(fits, F.concat(state, F.array(F.struct(x["id"].alias("id"), x["s"].alias("s"))))).otherwise(state)
-
-        def back(best: Column) -> Column:
-            def walk(at: Column, j: Column) -> Column:
-                last = F.get(best, j)
-                ids = F.concat(F.array(last["id"]), at["ids"])
-                return F.when(at["pos"] == j, F.struct(last["s"].alias("pos"), ids.alias("ids"))).otherwise(at)
-
-            n = F.size(best) - 1
-            begin = F.struct(n.alias("pos"), F.array().cast("array<int>").alias("ids"))
-            return F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), begin, walk)["ids"]
-
-        first = F.struct(F.lit(-1).alias("id"), F.lit(0).alias("s"))
-        best = F.aggregate("pairs", F.array(first), step)
-        folded = self.lattice(segments.where("not alone")).withColumn("pairs", pairs("edges")).select("h", "n", let(best, back).alias("ids"))
+        folded = self.lattice(segments.where("not alone")).withColumn("pairs", pairs("edges"))
+        folded = folded.select("h", "n", let(best_paths(F.col("pairs"), self.longest), walked_back).alias("ids"))
         # a character without a piece is a segment of its own
         low = vocabulary(*self.key).bytes[0]
         code = F.hex(F.encode("segment", "UTF-8"))
