@@ -110,9 +110,11 @@ def bm25(candidates: DataFrame, query_column: str = "query", text_column: str =
     """Of candidates (query_id, id, query, content): query_id, id, bm25, with the statistics of each query's candidates.
 
     Terms in over half of the candidates have a negative weight, raised to EPSILON times the mean weight; repeated query
-    terms count repeatedly; documents without tokens count in the averages; without any tokens scores are 0.
+    terms count repeatedly; documents without tokens count in the averages; without any tokens scores are 0. Candidates with
+    a column tokens, as a store has it, are not tokenised again.
     """
-    base = candidates.select("query_id", "id", keyword_tokens(F.col(text_column)).alias("tokens"), keyword_tokens(F.col(query_column)).alias("asked"))
+    tokens = F.col("tokens") if "tokens" in candidates.columns else keyword_tokens(F.col(text_column))
+    base = candidates.select("query_id", "id", tokens.alias("tokens"), keyword_tokens(F.col(query_column)).alias("asked"))
     base = base.withColumn("length", F.size("tokens"))
     stats = base.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     postings = base.select("query_id", "id", "length", F.explode("tokens").alias("token")).groupBy("query_id", "id", "length", "token").agg(F.count("*").alias("tf"))
@@ -163,7 +165,7 @@ def candidates(queries: DataFrame, collection: DataFrame, k: int, metric: str =
 def hybrid_search(queries: DataFrame, collection: DataFrame, k: int | None = None, c: Retrieval = Retrieval()) -> DataFrame:
     """The k best of each query after vector search and reranking."""
     found = reranked(candidates(queries, collection, c.top_k_candidates, c.metric), c.semantic_weight)
-    return found.where(F.col("rank") <= (c.top_k_final if k is None else k))
+    return found.where(F.col("rank") <= (c.top_k_final if k is None else k)).drop("tokens")
 
 
 def gated(results: DataFrame, delta: float = 0.05) -> DataFrame:

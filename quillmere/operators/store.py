@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import keyword_tokens
 from .images import row_id
 
 KEY, NUMBER, TEXT = (T.StructField(n, t()) for n, t in (("id", T.StringType), ("page_num", T.IntegerType), ("content", T.StringType)))
+#: The keyword tokens of the content, made when it is stored, so that no search makes them again.
+TOKENS = T.StructField("tokens", T.ArrayType(T.StringType()))
 SCHEMAS = {
-    "text_chunks": T.StructType([KEY, TEXT, T.StructField("file_name", T.StringType()), NUMBER, T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("embedding", T.ArrayType(T.DoubleType()))]),
-    "image_descriptions": T.StructType([KEY, TEXT, T.StructField("file_name", T.StringType()), NUMBER, T.StructField("img_num", T.IntegerType()), T.StructField("image_path", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("embedding", T.ArrayType(T.DoubleType()))]),
+    "text_chunks": T.StructType([KEY, TEXT, T.StructField("file_name", T.StringType()), NUMBER, T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("embedding", T.ArrayType(T.DoubleType())), TOKENS]),
+    "image_descriptions": T.StructType([KEY, TEXT, T.StructField("file_name", T.StringType()), NUMBER, T.StructField("img_num", T.IntegerType()), T.StructField("image_path", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("embedding", T.ArrayType(T.DoubleType())), TOKENS]),
 }
 
 
@@ -85,6 +88,7 @@ class Store:
             empty.partitionBy("bucket").parquet(f"{self.folder}/{name}")
 
     def _add(self, name: str, rows: DataFrame, vectors: DataFrame) -> None:
+        rows = rows.withColumn("tokens", keyword_tokens(F.col("content")))
         joined = rows.withColumn("__row", F.lit(1)).join(vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")), "id", "full")
         columns = [joined[f.name].cast(f.dataType).alias(f.name) if f.name in joined.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
         # written once, so that no model runs again for the checks

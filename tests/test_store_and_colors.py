@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmere.config import Images
 from quillmere.operators import images as I
+from quillmere.operators import retrieval as R
 from quillmere.operators.store import Store, bucket_of
 from quillmere.providers import embedding
 
@@ -37,6 +38,19 @@ def test_additions_touch_their_buckets_only(spark, tmp_path):
         Store(spark, str(tmp_path / "s"), buckets=4)
 
 
+def test_stored_tokens_serve_the_search(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    add(store, spark.createDataFrame([("a", "The red fox, part A320-200."), ("b", "red red bird"), ("c", ""), ("d", "a quiet fox")], "id string, content string"))
+    stored = store.read("text_chunks")
+    assert {r.id: r.tokens for r in stored.collect()} == {"a": ["the", "red", "fox", "part", "a320-200"], "b": ["red", "red", "bird"], "c": [], "d": ["quiet", "fox"]}
+    pairs = spark.createDataFrame([(q, t, i) for q, t in ((1, "red fox"), (2, "A320-200 bird")) for i in "abcd"], "query_id int, query string, id string")
+    found = pairs.join(stored, "id")
+    by_tokens, by_text = (R.bm25(x) for x in (found, found.drop("tokens")))
+    assert sorted(map(tuple, by_tokens.collect())) == sorted(map(tuple, by_text.collect()))
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(coalesce(content" in plan(by_text) and "lower(coalesce(content" not in plan(by_tokens)
+
+
 def test_a_broken_addition_can_be_repeated(spark, tmp_path):
     store, rows = Store(spark, str(tmp_path / "s"), buckets=4), chunks(spark, range(40))
     broken = embedding(F.when(F.col("id") == "c7", F.raise_error("down")).otherwise(F.col("content")))
