@@ -678,6 +678,43 @@ def test_toxicity(spark, odd, none):
     assert toxicity.scored(none, labels).count() == 0
 
 
+def plain_buckets(text):
+    """The set of a text's buckets, gram by gram."""
+    padded, out = f" {text.lower()} ", set()
+    for n in toxicity.ORDERS:
+        for i in range(len(padded) - n + 1):
+            h = n
+            for c in padded[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            out.add(h % toxicity.BUCKETS)
+    return out
+
+
+def test_ratios_and_scores_equal_plain_ones(spark):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdé日") for _ in range(r.randint(1, 5))) for _ in range(40)]
+    texts = {i: " ".join(r.choice(words) for _ in range(r.randint(0, 12))) + (" vile" if i % 3 == 0 else "") for i in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    rows = docs.join(labels, "doc_id")
+    found = {x.bucket: (x.pos, x.neg) for x in toxicity.counts(rows).collect()}
+    plain = defaultdict(lambda: [0, 0])
+    for i, t in texts.items():
+        for b in plain_buckets(t):
+            plain[b][i % 3 != 0] += 1
+    assert found == {b: tuple(x) for b, x in plain.items()}
+    pos, neg = sum(i % 3 == 0 for i in texts), sum(i % 3 != 0 for i in texts)
+    picked, ratio = toxicity.ratios(toxicity.counts(rows), pos, neg, 10**6, 1)
+    expected = {b: math.log(((p + 1) / (pos + 2)) / ((q + 1) / (neg + 2))) for b, (p, q) in found.items()}
+    assert dict(zip(picked.tolist(), ratio.tolist())) == pytest.approx(expected)
+    weights, bias = toxicity.trained(docs, labels, least=1)
+    for x in toxicity.scored(docs, labels, least=1).collect():
+        total = bias + sum(weights[b] for b in sorted(plain_buckets(texts[x.doc_id])))
+        assert x.score == pytest.approx(1 / (1 + math.exp(-total)))
+        assert x.predicted == int(x.score >= 0.3)
+
+
 def test_ratio_of_labels(spark):
     odd_labels = spark.createDataFrame([(1, None), (None, 1), (2, 5)], "doc_id long, toxic int")
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
