@@ -154,6 +154,44 @@ def test_equal_pieces_count_once(spark):
     assert pieces.count() == pieces.dropDuplicates(["lang", "text"]).count() <= 120
 
 
+def test_all_training_text_counts(spark):
+    r = random.Random(4)
+    # 700,000 characters of one language and 2,000 of another; beyond a draw of 500,000 a language most pieces went unread
+    rows = [(i, words(r, TONGUES["aa"], 1500), "aa") for i in range(140)] + [(1000 + i, words(r, TONGUES["cc"], 60), "cc") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    plain = Counter()
+    for i, text, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for piece in {" ".join(text[k : k + language.PIECE].split()) for k in range(0, len(text), language.PIECE)}:
+                padded = "   " + piece + " "
+                plain.update(("aacc".index(lang) // 2, padded[k : k + 4]) for k in range(len(padded) - 3))
+    names, pieces = language.drawn(docs, "lang")
+    found = {(x.lang, "".join(map(chr, (x.c0, x.c1, x.c2, x.c3)))): x.n0 + x.n1 for x in language.gram_counts(pieces, 4).collect()}
+    assert names == ["aa", "cc"] and found == plain and sum(n for (k, _), n in plain.items() if k == 0) > 550_000
+
+
+def test_many_texts_at_once_equal_each_alone():
+    r = random.Random(6)
+    for order in (1, 2, 4):
+        points = np.array([[ord(c) for c in words(r, "abc d", 40)[i : i + order]] for i in range(20)], dtype=np.uint32)
+        models = language.estimated(["x", "y"], np.arange(20) % 2, points, np.ones(20))
+        texts = [words(r, "abcdé🙂", n) for n in (1, 1, 5, 80, 1, 300)] + ["a"]
+        h, n, which = models.entropies_of(texts, (3, 20, 100))
+        expected = [(k, min(m, len(t))) for i, m in enumerate((3, 20, 100)) for k, t in enumerate(texts) if i == 0 or len(t) > (3, 20, 100)[i - 1]]
+        assert expected == list(zip(which.tolist(), (n - 1).tolist(), strict=True))
+        for (k, m), row in zip(expected, h, strict=True):
+            assert models.entropies(texts[k][:m])[0] == pytest.approx(row, rel=1e-5)
+
+
+def test_distinct_grams():
+    r = random.Random(7)
+    for letters in ("abc", "ab🙂"):
+        text = words(r, letters, 200)
+        points = np.array([ord(c) for c in text], dtype=np.uint32)
+        rows, n = language.distinct_grams(points, np.arange(len(text) - 3), 4)
+        assert {"".join(map(chr, g)): int(k) for g, k in zip(rows, n, strict=True)} == Counter(text[i : i + 4] for i in range(len(text) - 3))
+
+
 # fill-in-the-middle
 
 
