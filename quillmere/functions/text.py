@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
 from unicodedata import is_normalized, normalize
 
 import pyarrow as pa
@@ -9,6 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+if TYPE_CHECKING:
+    from collections.abc import Callable
+
 #: The token pattern, the sentence border, and white space as Unicode has it.
 TOKEN = r"[a-z0-9]+(?:[-/][a-z0-9]+)*"
 BORDER = r"(?U)(?<=[.!?])\s+"
@@ -16,10 +20,22 @@ EDGES = r"(?U)^\s+|\s+$"
 CONTROLS = r"[\p{Cc}&&[^\n\t]]"
 
 
+#: Bytes of an Arrow batch that become Python objects at once, and rows at most.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1024
+
+
+def sliced(batch: pa.Array, made: Callable[[list], pa.Array], kind: pa.DataType) -> pa.Array:
+    """What made gives of a batch's rows, slice by slice: a batch may hold 64 MB, and Python objects take several times that."""
+    rows = max(1, min(SLICE_ROWS, len(batch) * SLICE_BYTES // max(1, batch.nbytes)))
+    parts = [made(batch.slice(at, rows).to_pylist()) for at in range(0, len(batch), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @F.arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     """Compatibility composition; Spark has no expression for it."""
-    return pa.array([t if t is None or is_normalized("NFKC", t) else normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+    composed = lambda rows: pa.array([t if t is None or is_normalized("NFKC", t) else normalize("NFKC", t) for t in rows], pa.string())
+    return sliced(text, composed, pa.string())
 
 
 def strip_controls(text: Column) -> Column:

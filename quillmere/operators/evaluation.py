@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Evaluation
 from ..functions.replies import bare, context_texts, judged
-from ..functions.text import is_blank
+from ..functions.text import is_blank, sliced
 from ..functions.vectors import dot, norm
-from ..providers import Embedder, Generator, HashedEmbedder, embedding, generated
+from ..providers import Embedder, Generator, HashedEmbedder, embedding, generated, vectors_of
 
 METRICS = ("faithfulness_score", "answer_relevancy_score", "context_relevancy_score")
 
@@ -66,9 +67,17 @@ def embedded(texts: Column, model: Embedder | None = None) -> Column:
     """array<array<double>> of an array of texts."""
     model = model or HashedEmbedder()
 
-    @F.pandas_udf("array<array<double>>")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([[v.tolist() for v in model.embed([] if row is None else list(row))] for row in batch])
+    kind = pa.list_(pa.list_(pa.float64()))
+
+    def vectors(rows: list[list[str] | None]) -> pa.Array:
+        texts = [t for row in rows for t in row or []]
+        ends = np.concatenate([[0], np.cumsum([len(row or []) for row in rows])]).astype(np.int32)
+        found = vectors_of(model, texts) if texts else pa.array([], kind.value_type)
+        return pa.ListArray.from_arrays(pa.array(ends), found)
+
+    @F.arrow_udf("array<array<double>>")
+    def run(batch: pa.Array) -> pa.Array:
+        return sliced(batch, vectors, kind)
 
     return run(texts)
 

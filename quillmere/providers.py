@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from hashlib import md5
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .functions.text import TOKEN
+from .functions.text import TOKEN, sliced
 
 DIM = 64
+#: Tokens whose buckets a process keeps; the others are hashed again.
+KNOWN = 1 << 16
 
 
 class Embedder(Protocol):
@@ -38,7 +42,7 @@ class HashedEmbedder:
     def bucket(self, token: str) -> int:
         found = self.known.get(token)
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) >= KNOWN:
                 self.known.clear()
             found = self.known[token] = int(md5(token.encode()).hexdigest()[:8], 16) % self.dim
         return found
@@ -63,13 +67,27 @@ class ExtractiveGenerator:
         raise NotImplementedError
 
 
+def lists(rows: Iterable[np.ndarray | None]) -> pa.Array:
+    """list<double> of rows of numbers, without a Python object for each number."""
+    rows = list(rows)
+    ends = np.concatenate([[0], np.cumsum([0 if r is None else len(r) for r in rows])]).astype(np.int32)
+    numbers = np.concatenate([np.zeros(0), *(r for r in rows if r is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def vectors_of(model: Embedder, texts: list[str]) -> pa.Array:
+    """list<double> of each text's vector."""
+    v = np.asarray(model.embed(texts), dtype=float).reshape(len(texts), -1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
+
+
 def embedding(text: Column, model: Embedder | None = None) -> Column:
-    """array<double> of each text, in Arrow batches."""
+    """array<double> of each text, in Arrow batches, of which a slice at a time becomes Python objects."""
     model = model or HashedEmbedder()
 
-    @F.pandas_udf("array<double>")
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series(list(model.embed(batch.tolist())))
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        return sliced(batch, lambda rows: vectors_of(model, rows), pa.list_(pa.float64()))
 
     return run(text)
 
@@ -91,20 +109,19 @@ def neighbour_similarity(texts: Column, model: Embedder | None = None) -> Column
     """
     model = model or HashedEmbedder()
 
-    @F.pandas_udf("array<double>")
-    def run(batch: pd.Series) -> pd.Series:
-        out = []
-        for row in batch:
-            try:
-                v = model.embed([] if row is None else list(row))
-            except Exception:  # noqa: BLE001  any failure of a model is a row's, not the job's
-                out.append(None)
-                continue
-            size = np.sqrt((v * v).sum(axis=1))
-            both = size[1:] * size[:-1]
-            cos = np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)
-            out.append(np.round(np.concatenate([np.zeros(min(1, len(v))), cos]), 6))
-        return pd.Series(out)
+    def cosines(row: list[str] | None) -> np.ndarray | None:
+        try:
+            v = model.embed(row or [])
+        except Exception:  # noqa: BLE001  any failure of a model is a row's, not the job's
+            return None
+        size = np.sqrt((v * v).sum(axis=1))
+        both = size[1:] * size[:-1]
+        cos = np.divide((v[1:] * v[:-1]).sum(axis=1), both, out=np.zeros(len(both)), where=both > 0)
+        return np.round(np.concatenate([np.zeros(min(1, len(v))), cos]), 6)
+
+    @F.arrow_udf("array<double>")
+    def run(batch: pa.Array) -> pa.Array:
+        return sliced(batch, lambda rows: lists(cosines(row) for row in rows), pa.list_(pa.float64()))
 
     return run(texts)
 
@@ -113,15 +130,18 @@ def generated(prompt: Column, system: Column, model: Generator | None = None, te
     """struct<text,error>: failures become a text that names the error, never a failed job."""
     model = model or ExtractiveGenerator()
 
-    @F.pandas_udf("text string, error string")
-    def run(prompts: pd.Series, systems: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, s in zip(prompts, systems, strict=True):
-            try:
-                rows.append((model.generate(p, temperature, max_tokens, s), None))
-            except Exception as e:  # noqa: BLE001  any failure of a model is a row's, not the job's
-                rows.append((f"Error generating response: {e}", str(e)))
-        return pd.DataFrame(rows, columns=["text", "error"])
+    def reply(p: str | None, s: str | None) -> dict[str, str | None]:
+        try:
+            return {"text": model.generate(p, temperature, max_tokens, s), "error": None}
+        except Exception as e:  # noqa: BLE001  any failure of a model is a row's, not the job's
+            return {"text": f"Error generating response: {e}", "error": str(e)}
+
+    kind = pa.struct([("text", pa.string()), ("error", pa.string())])
+
+    @F.arrow_udf("text string, error string")
+    def run(prompts: pa.Array, systems: pa.Array) -> pa.Array:
+        asked = pa.StructArray.from_arrays([prompts, systems], ["p", "s"])
+        return sliced(asked, lambda rows: pa.array([reply(r["p"], r["s"]) for r in rows], kind), kind)
 
     return run(prompt, system)
 
