@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import strip
 
+if TYPE_CHECKING:
+    from collections.abc import Callable
+
 #: A brace object with one level of nesting, the scores and the counts that replies name.
 OBJECT = r"(?s)\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 SCORES = ("faithfulness_score", "answer_relevancy_score", "context_relevancy_score")
@@ -21,11 +26,19 @@ def fenced(text: Column, fence: str) -> Column:
 
 def parsed(text: Column) -> Column:
     """The first of: the whole text, a json fence, any fence, the first object that parses; as variant, else null."""
-    whole = strip(text)
-    objects = F.filter(F.regexp_extract_all(whole, F.lit(OBJECT), F.lit(0)), lambda m: F.try_parse_json(m).isNotNull())
-    return F.coalesce(
-        F.try_parse_json(whole), F.try_parse_json(fenced(whole, "```json")), F.try_parse_json(fenced(whole, "```")), F.try_parse_json(F.get(objects, F.lit(0)))
-    )
+
+    def first(whole: Column) -> Column:
+        objects = F.filter(F.regexp_extract_all(whole, F.lit(OBJECT), F.lit(0)), lambda m: F.try_parse_json(m).isNotNull())
+        return F.coalesce(
+            F.try_parse_json(whole), F.try_parse_json(fenced(whole, "```json")), F.try_parse_json(fenced(whole, "```")), F.try_parse_json(F.get(objects, F.lit(0)))
+        )
+
+    return once(strip(text), first)
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of the value, which is evaluated once a row however often then names it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -34,7 +47,10 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def bare(text: Column) -> Column:
     """Whether a reply parses as a number other than 0 or as true: something that can't be asked for fields."""
-    value = parsed(text)
+    return once(parsed(text), _bare)
+
+
+def _bare(value: Column) -> Column:
     scalar = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
     return F.coalesce(scalar & (F.try_variant_get(value, "$", "string").try_cast("double").isNull() | (F.try_variant_get(value, "$", "double") != 0)) & (F.try_variant_get(value, "$", "string") != "false"), F.lit(False))
 
@@ -45,7 +61,10 @@ def judged(text: Column) -> Column:
     A reply that parses counts as it is, even if it lacks a score. Otherwise fields are searched one by one, and missing
     scores are derived from the counts.
     """
-    value = parsed(text)
+    return once(parsed(text), lambda value: _judged(text, value))
+
+
+def _judged(text: Column, value: Column) -> Column:
     found = lambda name, pattern: F.get(F.regexp_extract_all(text, F.lit(f'"{name}"\\s*:\\s*({pattern})'), F.lit(1)), F.lit(0))
     score = {s: found(s, r"[\d.]+").try_cast("double") for s in SCORES}
     count = {c: found(c, r"\d+").try_cast("int") for c in COUNTS}

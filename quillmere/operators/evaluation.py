@@ -118,10 +118,10 @@ def evaluated(triplets: DataFrame, judge: Generator | None = None, model: Embedd
     rows = embedding_scores(triplets.withColumn("texts", context_texts(F.col("contexts"))), c, model).withColumn("num_contexts", F.size("texts"))
     if judge is None:
         return rows.withColumn("answer_relevancy_score", F.when(is_blank(F.col("answer")), 0.0).cast("double")).drop("texts")
-    ask = lambda prompt: judged(generated(prompt, F.lit(""), judge)["text"])
-    rows = rows.withColumn("__f", ask(faithfulness_prompt(F.col("answer"), F.col("texts"), c)))
+    ask = lambda prompt: generated(prompt, F.lit(""), judge)["text"]
+    rows = rows.withColumn("__f", ask(faithfulness_prompt(F.col("answer"), F.col("texts"), c))).withColumn("__f", judged(F.col("__f")))
     rows = rows.withColumn("__g", generated(questions_prompt(F.col("answer"), c), F.lit(""), judge, temperature=0.0, max_tokens=400))
-    rows = rows.withColumn("__q", judged(F.col("__g.text"))).withColumn("__r", ask(relevancy_prompt(F.col("query"), F.col("texts"), c)))
+    rows = rows.withColumn("__q", judged(F.col("__g.text"))).withColumn("__r", ask(relevancy_prompt(F.col("query"), F.col("texts"), c))).withColumn("__r", judged(F.col("__r")))
     some = (F.size("texts") > 0) & ~is_blank(F.col("answer"))
     rows = rows.withColumn("faithfulness_score", F.when(some, F.coalesce("__f.faithfulness_score", "faithfulness_score")).otherwise(0.0))
     rows = rows.withColumn("context_relevancy_score", F.when(F.size("texts") > 0, F.coalesce("__r.context_relevancy_score", "context_relevancy_score")).otherwise(0.0))
