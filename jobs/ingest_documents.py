@@ -7,7 +7,8 @@ id are skipped and counted; a document without text has no chunks.
 
 The output is partitioned by a hash bucket of the document's id and by micro-batch. A micro-batch reads the stored ids of
 its own buckets only, from earlier micro-batches, and replaces its own partitions; so one that runs again after a failure
-writes the same rows to the same place.
+writes the same rows to the same place. A bucket's documents are dealt to `slices` tasks, so chunks are made and written in
+more tasks than there are buckets.
 
     python -m jobs.ingest_documents --input DOCUMENTS --output CHUNKS --checkpoint FOLDER --config jobs/ingest_documents.toml
 """
@@ -40,6 +41,7 @@ CHUNKS = "id string, doc_id bigint, file_name string, page_num int, content stri
 class Settings:
     buckets: int = 16
     files_per_batch: int = 1000
+    slices: int = 8
     semantic: bool = True
     max_tokens: int = 512
     min_tokens: int = 180
@@ -77,7 +79,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, output: str, s: Settings) -> N
     documents = distinct_documents(counted.where("doc_id is not null").select("doc_id", "text", "source"), s.buckets)
     touched = [r.bucket for r in batch.where("doc_id is not null").select(bucket(F.col("doc_id"), s.buckets).alias("bucket")).distinct().collect()]
     known = stored(spark, output).where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id)).select("doc_id", "bucket").distinct()
-    new = documents.join(known, ["bucket", "doc_id"], "left_anti").repartition("bucket")
+    new = documents.join(known, ["bucket", "doc_id"], "left_anti").repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(s.slices)))
     pages = new.select("doc_id", "bucket", F.coalesce("source", F.lit("")).alias("file_name"), (F.col("doc_id") + 1).cast("int").alias("page_num"), "text")
     chunks = page_chunks(pages, s.semantic, s.config, keep=("doc_id", "bucket"))
     rows = chunks.select("id", "doc_id", "file_name", "page_num", "content", embedding(F.col("content")).alias("embedding"), "bucket", F.lit(batch_id).cast("bigint").alias("batch"))

@@ -2,8 +2,9 @@
 
 Texts are those of the documents, images are the web pages' headlines. Postings say how often a term stands in a row of a
 collection, and how many terms that row has; terms say in how many rows they stand. Both are partitioned by collection and
-by a hash bucket of the term, so a search reads the buckets of its own terms. A term that stands in all rows is dealt to
-`slices` tasks by its rows' ids, and its files are cut at `rows_per_file`.
+by a hash bucket of the term, so a search reads the buckets of its own terms. A bucket is dealt by its rows' ids to
+`slices` tasks, or to as many more as keep a task's share of the texts at about `chars_per_task`, so that a task's memory
+does not grow with the input; files are cut at `rows_per_file`.
 
 A null or empty text has no postings; of several rows with one id the times are summed. Columns other than the ids, the
 documents' text and the pages' html are not read.
@@ -37,6 +38,7 @@ class Settings:
     buckets: int = 32
     slices: int = 4
     rows_per_file: int = 5_000_000
+    chars_per_task: int = 4_000_000
 
 
 def rows_of(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -55,13 +57,20 @@ def written(frame: DataFrame, path: str, s: Settings) -> int:
     return seen.get["rows"]
 
 
+def slices_of(rows: DataFrame, s: Settings) -> int:
+    """Into how many slices a bucket is dealt."""
+    chars = rows.agg(F.sum(F.length("content"))).first()[0] or 0
+    return max(s.slices, -(-chars // (s.buckets * s.chars_per_task)))
+
+
 def run(spark: SparkSession, documents: str, pages: str, output: str, settings: Settings = Settings()) -> DataFrame:
     """Builds the index; returns its postings with the number of rows that have each term."""
     rows = rows_of(spark.read.parquet(documents), spark.read.parquet(pages))
-    n = written(postings(rows, settings.buckets, settings.slices), f"{output}/postings", settings)
+    slices = slices_of(rows, settings)
+    n = written(postings(rows, settings.buckets, slices), f"{output}/postings", settings)
     made = spark.read.parquet(f"{output}/postings")
     m = written(term_statistics(made), f"{output}/terms", settings)
-    log.info("read %s and %s; wrote %d postings and %d terms to %s", documents, pages, n, m, output)
+    log.info("read %s and %s; wrote %d postings in %d slices and %d terms to %s", documents, pages, n, slices, m, output)
     return made.join(spark.read.parquet(f"{output}/terms"), ["collection", "bucket", "term"])
 
 

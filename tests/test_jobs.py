@@ -92,6 +92,32 @@ def test_keyword_index_is_replaced_as_a_whole(spark, tmp_path):
     assert "PartitionFilters" in beta._jdf.queryExecution().executedPlan().toString() and beta.count() == 2
 
 
+def test_slices_grow_with_the_texts(spark, tmp_path):
+    documents, pages = (str(tmp_path / x) for x in ("d", "p"))
+    spark.range(400).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' '), 50) as text").write.parquet(documents)
+    spark.createDataFrame([(1, "<h1>Beta</h1>")], "page_id long, html string").write.parquet(pages)
+    few, many = keyword_index.Settings(buckets=1, slices=2), keyword_index.Settings(buckets=1, slices=2, chars_per_task=6000)
+    rows = keyword_index.rows_of(spark.read.parquet(documents), spark.read.parquet(pages))
+    assert keyword_index.slices_of(rows, few) == 2 and keyword_index.slices_of(rows, many) == 21  # 120,004 characters
+    a, b = (keyword_index.run(spark, documents, pages, str(tmp_path / name), s) for name, s in (("few", few), ("many", many)))
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert len(list((tmp_path / "few/postings/collection=text_chunks/bucket=0").glob("*.parquet"))) <= 2
+    assert len(list((tmp_path / "many/postings/collection=text_chunks/bucket=0").glob("*.parquet"))) > 8
+    assert keyword_index.slices_of(rows.where("false"), few) == 2
+
+
+def test_a_bucket_is_made_in_several_tasks(spark, tmp_path, request):
+    source, merging = str(tmp_path / "in"), "spark.sql.adaptive.coalescePartitions.enabled"
+    request.addfinalizer(lambda: spark.conf.unset(merging))
+    spark.conf.set(merging, "false")  # else such small tasks become one
+    add(spark, source, [(i, f"Text {i}. More of it.", "en", "web", 1) for i in range(60)])
+    for slices in (1, 4):
+        out = ingest_documents.run(spark, source, str(tmp_path / f"out{slices}"), str(tmp_path / f"c{slices}"), ingest_documents.Settings(buckets=1, slices=slices))
+        assert out.select("doc_id").distinct().count() == out.count() == 60
+    files = [len(list((tmp_path / f"out{n}/bucket=0").glob("batch=*/*.parquet"))) for n in (1, 4)]
+    assert files[0] == 1 < files[1]
+
+
 def test_settings(tmp_path):
     path = tmp_path / "x.toml"
     path.write_text("buckets = 5\n")
