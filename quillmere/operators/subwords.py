@@ -1,15 +1,15 @@
-"""Token counts of a byte-level BPE vocabulary, as a relation of distinct words.
+"""Token counts of a byte-level BPE vocabulary, by the distinct words of a task.
 
-A text is cut into words by the vocabulary's pattern; tokens never cross words. So each distinct word is merged once: the
-words of all texts are counted (with partial counts in each task), those of one token or more are sized by one Arrow
-function, and the sizes are joined back. The ``COMMON`` most frequent words, which make up almost all of a corpus, are
-broadcast (words of at most ``SHORT`` bytes, so the table's size is bounded); only the others are shuffled, and no one of
-them is frequent. The sum of a text is taken in its own task first.
+A text is cut into words by the vocabulary's pattern, once, by Spark; tokens never cross words. The words of many texts
+reach an Arrow function as one array. In steps of ``STEP`` words the distinct ones are numbered and sized, each once, and a
+text's sum is a difference of running totals. Nothing is shuffled, so no word is hot and the work grows with the input; a
+word is sized again in each step that has it. Memory is bounded by a step and by the batch that Spark sends.
 
 The vocabulary is a file of lines `base64 rank`, one for each token: the rank of a pair of tokens is that of their
-concatenation, and the pair of the least rank merges first, the leftmost of equal ones. A word merges by a heap of pairs,
-so one without a break takes n log n steps. Cases: a null or empty text has 0 tokens; repeated rows are counted alike;
-characters of any script fall back to their bytes, which are tokens too.
+concatenation, and the pair of the least rank merges first, the leftmost of equal ones. ``COMMON`` words at a time merge side
+by side, a pair of each in every round; one of over ``SHORT`` bytes merges alone by a heap of pairs, so a word without a
+break takes n log n steps. Cases: a null or empty text has 0 tokens; repeated rows are counted alike; characters of any
+script fall back to their bytes, which are tokens too.
 """
 
 from __future__ import annotations
@@ -18,13 +18,17 @@ import base64
 import heapq
 from typing import TYPE_CHECKING
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
     from pyspark.sql import Column, DataFrame, SparkSession
 
-COMMON, SHORT = 100_000, 64
+COMMON, SHORT, STEP = 1 << 15, 64, 1 << 22
+#: The order of a pair that does not merge.
+NEVER = 1 << 60
 #: The pattern of words of the public byte-level vocabularies: contractions, words, numbers, signs, and white space but
 #: for the last one before a word.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,12 +69,77 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [p for p in parts if p is not None]
 
 
-def size_function(ranks: dict[bytes, int]):
-    """An Arrow function from words to their numbers of tokens."""
+def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of single bytes, the pairs of tokens that merge (left, then right, in 32 bits each; sorted), and what each becomes."""
+    top = max(ranks.values(), default=0) + 1
+    tokens = {bytes([i]): top + i for i in range(256)} | ranks
+    pairs = {(left << 32) + right: rank for t, rank in ranks.items() for i in range(1, len(t)) if (left := tokens.get(t[:i])) is not None and (right := tokens.get(t[i:])) is not None}
+    pairs |= {-1: 0}  # no pair; the table is never empty
+    keys = sorted(pairs)
+    return np.array([tokens[bytes([i])] for i in range(256)]), np.array(keys), np.array([pairs[k] for k in keys])
+
+
+def side_by_side(text: np.ndarray, width: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The numbers of tokens of words of 1 to SHORT bytes, given one after another; a mark, which pairs with nothing, ends each."""
+    single, keys, becomes = table
+    sizes, word, width = np.zeros(len(width), np.int64), np.arange(len(width)), width + 1
+    ends = np.cumsum(width)
+    tokens = np.full(width.sum(), (1 << 31) - 1)
+    tokens[np.delete(np.arange(len(tokens)), ends - 1)] = single[text]
+    place = np.arange(len(tokens)) - np.repeat(ends - width, width)
+
+    def order(i: np.ndarray) -> np.ndarray:
+        """Of the pairs that begin at i: rank, then place."""
+        pairs = (tokens[i] << 32) + tokens[i + 1]
+        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+        return np.where(keys[at] == pairs, becomes[at] * (2 * SHORT) + place[i], NEVER)
+
+    orders = np.append(order(np.arange(len(tokens) - 1)), NEVER)
+    while len(word):
+        first = np.cumsum(width) - width
+        least = np.minimum.reduceat(orders, first)
+        live = least < NEVER
+        sizes[word[~live]] = width[~live] - 1
+        stay = np.repeat(live, width)
+        at = np.flatnonzero((orders == np.repeat(least, width)) & stay)
+        tokens[at], stay[at + 1] = least[live] // (2 * SHORT), False
+        tokens, place, orders = tokens[stay], place[stay], orders[stay]
+        word, width, at = word[live], width[live] - 1, at - first[live]
+        at += np.cumsum(width) - width
+        for i in (at - 1, at):  # the one before the first is the last mark
+            orders[i] = order(i)
+    return sizes
+
+
+def sizes_of(words: pa.Array, ranks: dict[bytes, int], table: tuple[np.ndarray, np.ndarray, np.ndarray], vocabulary: pa.Array) -> np.ndarray:
+    """The numbers of tokens of words."""
+    words = words.cast(pa.binary())
+    width, sizes = pc.binary_length(words).to_numpy(), np.ones(len(words), np.int64)
+    rest = ~pc.is_in(words, value_set=vocabulary).to_numpy(zero_copy_only=False)
+    short = words.filter(pa.array(rest & (width <= SHORT)))
+    if len(short):
+        _, offsets, text = short.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[short.offset : short.offset + len(short) + 1]
+        sizes[rest & (width <= SHORT)] = side_by_side(np.frombuffer(text, np.uint8)[bounds[0] : bounds[-1]], np.diff(bounds).astype(np.int64), table)
+    for i in np.flatnonzero(rest & (width > SHORT)).tolist():
+        sizes[i] = len(merged(words[i].as_py(), ranks))
+    return sizes
+
+
+def size_function(ranks: dict[bytes, int], common: int = COMMON, many: int = STEP):
+    """An Arrow function from the words of texts to the texts' numbers of tokens, of many words in a step; common of them merge at a time."""
+    table, tokens = pair_table(ranks), list(ranks)
 
-    @F.arrow_udf("int")
-    def sizes(words: pa.Array) -> pa.Array:
-        return pa.array([len(merged(w.encode("utf-8", "surrogatepass"), ranks)) for w in words.to_pylist()], pa.int32())
+    @F.arrow_udf("long")
+    def sizes(texts: pa.Array) -> pa.Array:
+        found, starts, vocabulary = texts.flatten(), texts.offsets.to_numpy(), pa.array(tokens, pa.binary())
+        totals = np.zeros(len(found) + 1, np.int64)
+        for at in range(0, len(found), many):
+            step = found.slice(at, many).dictionary_encode()
+            own = np.concatenate([sizes_of(step.dictionary.slice(i, common), ranks, table, vocabulary) for i in range(0, len(step.dictionary), common)])
+            totals[at + 1 : at + 1 + len(step)] = own[step.indices.to_numpy()]
+        np.cumsum(totals, out=totals)
+        return pa.array(np.diff(totals[starts - starts[0]]))
 
     return sizes
 
@@ -80,18 +149,8 @@ def words(text: Column) -> Column:
 
 
 def token_counts(rows: DataFrame, ranks: dict[bytes, int], id_column: str = "doc_id", text_column: str = "text", common: int = COMMON) -> DataFrame:
-    """Of rows: the id and n_tokens, one row for each; the ids must tell the rows apart."""
-    cut = rows.select(F.col(id_column).alias("id"), F.explode_outer(words(F.col(text_column))).alias("word"))
-    counted = cut.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    sizes = size_function(ranks)
-    frequent = counted.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(common)
-    known = frequent.select("word", sizes("word").alias("size"))
-    found = cut.join(F.broadcast(known), "word", "left")
-    here = found.where("word is null or size is not null").groupBy("id").agg(F.sum(F.coalesce("size", F.lit(0))).alias("n"))
-    rare = found.where("word is not null and size is null").select("id", "word")
-    sized = rare.select("word").distinct().select("word", sizes("word").alias("size"))
-    rare = rare.join(sized, "word").groupBy("id").agg(F.sum("size").alias("n"))
-    return here.unionByName(rare).groupBy("id").agg(F.sum("n").cast("long").alias("n_tokens")).withColumnRenamed("id", id_column)
+    """Of rows: the id and n_tokens, one row for each."""
+    return rows.select(id_column, size_function(ranks, common)(words(F.col(text_column))).alias("n_tokens"))
 
 
 def token_sizes(ranks: dict[bytes, int], kept: int = 1 << 16):

@@ -3,6 +3,7 @@
 import base64
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -62,3 +63,28 @@ def test_counter_of_the_chunker(spark, ranks):
 def test_vocabulary(ranks):
     lines = [x.split() for x in open(VOCABULARY, "rb").read().splitlines()]
     assert ranks == {base64.b64decode(a): int(b) for a, b in lines}
+
+
+def test_counts_take_one_pass(spark, ranks, capsys):
+    docs = spark.createDataFrame([(1, "Hello wurld"), (1, "Hello wurld"), (None, "xqzzy"), (2, None)], "doc_id long, text string")
+    counts = subwords.token_counts(docs, ranks)
+    counts.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange" not in plan and plan.count("regexp_extract_all(") == 1
+    sizes = [sum(len(plain_tokens(w.encode(), ranks)) for w in regex.findall(PATTERN, t)) for t in ("Hello wurld", "xqzzy")]
+    assert sorted(counts.collect(), key=str) == sorted([(1, sizes[0]), (1, sizes[0]), (None, sizes[1]), (2, 0)], key=str)  # rows of one id stay apart
+
+
+def test_steps_cut_texts_anywhere(spark, ranks):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
+    sized = [docs.select("doc_id", subwords.size_function(ranks, *steps)(subwords.words(F.col("text"))).alias("n")).collect() for steps in ((2, 3), (7, 50), (1 << 15, 1 << 22))]
+    assert sized[0] == sized[1] == sized[2]
+
+
+@pytest.mark.parametrize("known", [{}, {b"a": 7}, {b"ab": 0, b"abab": 1, b"b": 2, b"ba": 5, b"aba": 3, b"xyz": 4}])
+def test_words_side_by_side(ranks, known):
+    r = random.Random(2)
+    words = ["".join(r.choice("abxyzé日 '1") for _ in range(r.randint(1, 30))) for _ in range(800)] + ["a" * k for k in range(60, 70)] + ["xyz", "ab" * 32, "ab" * 33, "日" * 21, "日" * 22]
+    for table in (known, ranks):
+        sizes = subwords.sizes_of(pa.array(words)[1:], table, subwords.pair_table(table), pa.array(list(table), pa.binary()))
+        assert sizes.tolist() == [1 if w.encode() in table else len(plain_tokens(w.encode(), table)) for w in words[1:]]
